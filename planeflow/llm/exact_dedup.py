@@ -88,7 +88,7 @@ def _first_runs(ranges: int, keep_largest: bool):
 
 
 def _merged(keep_largest: bool):
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         runs: dict[int, list] = {}
         for run, *row in zip(*(table.column(c).to_pylist() for c in ("run", "short", "digest", "n_bytes", "id", "copies")), strict=True):
             runs.setdefault(run, []).append(row)

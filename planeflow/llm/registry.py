@@ -1,15 +1,23 @@
 """The subpackage's queries and their SQL."""
 
-from . import exact_dedup, quality_rules, substring_dedup
+from . import chat_format, exact_dedup, packing, quality_classifier, quality_rules, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_chat_format": chat_format.op8_chat_format,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op6_quality_rules": quality_rules.OP6_SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.OP1_SQL,
+        "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op6_quality_rules": quality_rules.OP6_SQL,
+        "op8_chat_format": chat_format.OP8_SQL,
+    }
