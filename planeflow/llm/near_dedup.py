@@ -9,8 +9,8 @@ shingles within a band: with M aligned of n and m, similarity is M / (n + m - M)
 No bucket's pairs are all emitted. Copies with equal words are one node. Buckets are sorted by range, so a
 large one spans tasks; first a node meets its bucket's first one in a few sketches, which joins a group of any
 size with one pair a member. Then, for all sketches, buckets whose nodes are still in different classes link
-each node to its neighbour in order of length and to the first one, until a round joins nothing. Classes are
-connected components, found by contracting the links in random order.
+each node to its neighbour in order of length and to the first one. Classes are connected components, found
+by contracting the links in random order.
 """
 
 from __future__ import annotations
@@ -187,29 +187,20 @@ def _verify(similarity: float):
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links; root is one node of its component.
 
-    Each round every node hooks on to its neighbour (or itself) of least hash, then classes become the nodes;
-    the hash changes from round to round, so the number of live nodes falls by a constant factor."""
-    edges = written(links.select("a", "b").filter("a <> b").distinct(), "links")
-    steps, turn = [], 0
+    Each round every node hooks on to its least neighbour (or itself), two hooks up at once, and the classes
+    become the nodes. Nodes are numbered in order of a digest, so the order is random: a star is one class
+    after two rounds, and a chain shrinks by a constant factor a round."""
+    edges = written(links.filter("a <> b").distinct(), "links")
+    roots = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c, t=turn: F.struct(F.xxhash64(F.col(c), F.lit(t)).alias("r"), F.col(c).alias("node"))
-        least = both.groupBy("a").agg(F.min(rank("b")).alias("least"))
-        hook = written(least.select(F.col("a").alias("node"), F.least(rank("a"), F.col("least"))["node"].alias("up")), "hooks")
-        # two steps up at once
-        jump = hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top")
-        jump = written(jump, "hooks")
-        steps.append(jump)
+        hook = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).withColumn("up", F.least("node", "up")), "hooks")
+        jump = written(hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top"), "jumps")
+        roots = jump.withColumnRenamed("top", "root") if roots is None else roots.join(jump.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         up = lambda c: jump.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))  # noqa: B023, E731
         edges = edges.join(up("a"), "a").join(up("b"), "b").select(F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b")).filter("a <> b").distinct()
         edges = written(edges, "links")
-        turn += 1
-    if not steps:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    out = steps[0].withColumnRenamed("top", "root")
-    for step in steps[1:]:
-        out = out.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return written(out, "roots")
+    return written(roots, "roots") if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -219,7 +210,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     directly or through others. Texts of fewer than five words are only linked to equal ones; null and empty
     texts are equal. Rows that repeat an identifier are judged one by one; null identifiers count as the
     least, so a class with one has a null class_id. No rows give no rows."""
-    spark = docs.sparkSession
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("_t"))
     made = written(rows.mapInArrow(_sketch, "_id long, _h long, high long, low long, n int, sketches array<long>"), "sketches")
     nodes = made.groupBy("high", "low").agg(F.min("_id").alias("rep"))
@@ -237,23 +227,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         full = full.join(words.select(F.col("node").alias("b"), F.col("_t").alias("y")).hint("merge"), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_verify(similarity), LINK)
 
-    links = written(verified(written(_pairs(keys.filter(f"f < {FIRST}").select("key", "node", "n"), _star), "pairs")), "links")
-    roots = components(links)
-    tried = spark.createDataFrame([], LINK)
-    while True:
-        kin = keys.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("kin"))
-        kin = written(kin, "kin")
-        mixed = kin.groupBy("key").agg(F.min("kin").alias("low"), F.max("kin").alias("high")).filter("low < high").select("key")
-        mixed = written(mixed, "mixed")
-        pairs = written(_pairs(kin.join(mixed.hint("merge"), "key").select("key", "node", "n", "kin"), _star_and_chain).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
-        more = written(verified(pairs), "links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        roots = components(links)
+    roots = components(verified(written(_pairs(keys.filter(f"f < {FIRST}").select("key", "node", "n"), _star), "pairs")))
+    kin = written(keys.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("kin")), "kin")
+    mixed = written(kin.groupBy("key").agg(F.min("kin").alias("low"), F.max("kin").alias("high")).filter("low < high").select("key"), "mixed")
+    late = verified(written(_pairs(kin.join(mixed.hint("merge"), "key").select("key", "node", "n", "kin"), _star_and_chain), "pairs"))
+    for side in ("a", "b"):  # links between the classes of the first round
+        late = late.join(roots.select(F.col("node").alias(side), F.col("root").alias("top")), side, "left").withColumn(side, F.coalesce("top", side)).drop("top")
+    more = components(late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    roots = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("top", "root").alias("root"))
+    roots = written(roots, "roots")
     known = member.join(roots, "node", "left").select("_id", "_h", "n", "rep", F.coalesce("root", "node").alias("root"))
     known = written(known, "known")
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
