@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planeflow.llm._shared import row_key, written
+from planeflow.llm._shared import join_rows, own_columns, written
 from planeflow.llm.exact_dedup import exact_dedup
 from planeflow.llm.mixing import mix_rates, quality_domains
 from planeflow.llm.near_dedup import near_dedup
@@ -40,11 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without labelled documents in docs the posteriors are flat, and rates only follow the budget."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rates = mix_rates(docs, quality_domains(labels), TARGETS, budget=BUDGET).select("_id", "_h", "copies").dropDuplicates(["_id", "_h"])
-    key, text = row_key()
-    keyed = docs.withColumns({"_pf_id": key, "_pf_h": text})
-    kept = keyed.join(rates.filter("copies > 0"), (F.col("_pf_id") == F.col("_id")) & (F.col("_pf_h") == F.col("_h")))
-    kept = kept.withColumn("_pf_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = join_rows(docs, rates.filter("copies > 0").withColumnRenamed("copies", "_pf_copies"), "inner")
+    return own_columns(kept.withColumn("_pf_copy", F.explode(F.sequence(F.lit(1), F.col("_pf_copies").cast("int")))), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

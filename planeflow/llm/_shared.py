@@ -47,6 +47,17 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h")]
 
 
+def join_rows(docs: DataFrame, found: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs joined with found on row_key's columns (_id and _h in found); docs' own columns may have any name."""
+    key, text = row_key(id_col, text_col)
+    keyed = docs.withColumns({"_pf_join_id": key, "_pf_join_h": text})
+    return keyed.join(found.withColumnsRenamed({"_id": "_pf_join_id", "_h": "_pf_join_h"}), ["_pf_join_id", "_pf_join_h"], how)
+
+
+def own_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A plain string array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

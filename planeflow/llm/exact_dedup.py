@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import texts, written
+from ._shared import NULL_ID, own_columns, texts, written
 from ._words import buffers
 
 FAN = 8
@@ -123,11 +123,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, with docs' own columns; of rows that repeat an identifier and a text, one."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    stay = groups.filter("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    stay = groups.filter("kept").select(F.coalesce("id", F.lit(NULL_ID)).alias("_pf_key"), F.col("digest").alias("_pf_digest")).distinct()
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER.decode(), _LOWER.decode())
-    keyed = docs.withColumns({"_pf_id": F.col(id_col).cast("long"), "_pf_digest": F.unhex(F.sha2(lowered, 256))})
-    joined = keyed.join(stay, keyed["_pf_id"].eqNullSafe(stay["_id"]) & (keyed["_pf_digest"] == stay["_digest"]), "left_semi")
-    return joined.dropDuplicates(["_pf_id", "_pf_digest"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.withColumns({"_pf_key": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_pf_digest": F.unhex(F.sha2(lowered, 256))})
+    joined = keyed.join(stay, ["_pf_key", "_pf_digest"], "left_semi")
+    return own_columns(joined.dropDuplicates(["_pf_key", "_pf_digest"]), docs)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import row_key, spans, texts, written
+from ._shared import join_rows, own_columns, row_key, spans, texts, written
 from ._words import U, Words, buffers, mix, windows
 
 SHINGLE = 5
@@ -234,8 +234,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for side in ("a", "b"):  # links between the classes of the first round
         late = late.join(roots.select(F.col("node").alias(side), F.col("root").alias("top")), side, "left").withColumn(side, F.coalesce("top", side)).drop("top")
     more = components(late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    roots = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("top", "root").alias("root"))
-    roots = written(roots, "roots")
+    risen = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = written(risen.unionByName(more.join(roots.select("node"), "node", "left_anti")), "roots")
     known = member.join(roots, "node", "left").select("_id", "_h", "n", "rep", F.coalesce("root", "node").alias("root"))
     known = written(known, "known")
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
@@ -247,9 +247,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that have another row of their class with a smaller identifier."""
     gone = near_classes(docs, id_col, text_col, similarity).filter("not (id <=> class_id)").select("_id", "_h").distinct()
-    key, text = row_key(id_col, text_col)
-    keyed = docs.withColumns({"_pf_id": key, "_pf_h": text})
-    return keyed.join(gone, (F.col("_pf_id") == F.col("_id")) & (F.col("_pf_h") == F.col("_h")), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return own_columns(join_rows(docs, gone, "left_anti", id_col, text_col), docs)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
