@@ -26,7 +26,7 @@ SMALLEST = 64
 END_ID = 2
 FAN = 256
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 PIECE = "run long, place long, k int, {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,28 +50,48 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        if len(known) + len(words) > CACHE_WORDS:
+        if len(known) + 2 * len(words) > CACHE_WORDS:
             known.clear()
-        split = {w: (w[:-1], w[-1:]) for w in words if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-        new = [w for w in {*words.difference(split), *(x for pair in split.values() for x in pair)} if w not in known]
-        for w, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(found.ids, np.uint32).tobytes()
+        split, new = {}, set()
+        for w in words:
+            if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or w[-2] > 127 and w[:-1].decode().lower()[-1].isalpha()):
+                split[w] = w[:-1], w[-1:]
+                new.update(split[w])
+            else:
+                new.add(w)
+        new = [w for w in new if w not in known]
+        plain = [w for w in new if w.isalpha() or w[0] > 64 and w.decode().lower().isalpha()]
+        rest = set(new)
+        if plain:  # words of letters only end in one piece that ends a word, so they can be encoded together
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cut) == len(plain) + 1:
+                raw = ids.tobytes()
+                known.update((w, raw[a:b]) for w, a, b in zip(plain, cut[:-1], cut[1:], strict=True))
+                rest.difference_update(plain)
+        if rest:
+            rest = list(rest)
+            for w, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+                known[w] = np.array(found.ids, np.uint32).tobytes()
         for w, (a, b) in split.items():
             known[w] = known[a] + known[b]
 
     def ids(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         words = (text if b"<|" in text else text.lower()).split()
-        missing = {w for w in set(words) if w not in self.known}
+        missing = set(words).difference(self.known)
         if missing:
             if len(missing) > CACHE_WORDS // 2:
                 return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
             self._learn(missing)
-            if len(self.known) < CACHE_WORDS and any(w not in self.known for w in words):  # it began anew
-                self._learn({w for w in words if w not in self.known})
+            if again := set(words).difference(self.known):  # it began anew
+                self._learn(again)
         return b"".join(map(self.known.__getitem__, words))
 
 
