@@ -64,7 +64,8 @@ def posteriors(docs: DataFrame, weights: np.ndarray, prior: np.ndarray, id_col:
     spark, k = docs.sparkSession, len(prior)
     centred = weights - weights.mean(1, keepdims=True)
     model = spark.createDataFrame([(b, *map(float, centred[b])) for b in range(BUCKETS)], "bucket int, " + ", ".join(f"w_{i} double" for i in range(k)))
-    words = docs.select(*row_key(id_col, text_col), F.posexplode(_words(F.col(text_col))).alias("p", "w"))
+    rows = docs.select(*row_key(id_col, text_col), _words(F.col(text_col)).alias("ws"))  # keys once a row, not once a word
+    words = rows.select("_id", "_h", F.posexplode("ws").alias("p", "w"))
     words = words.select("_id", "_h", "p", (F.col("w") != "").cast("int").alias("one"), _bucket(F.col("w")).alias("bucket")).join(F.broadcast(model), "bucket")
     sums = words.groupBy("_id", "_h").agg(F.sum("one").alias("n"), F.sum((F.col("p") == 0).cast("int")).alias("copies"), *(F.sum(F.col(f"w_{i}") * F.col("one")).alias(f"s_{i}") for i in range(k)))
     each = F.greatest(F.col("n"), F.lit(1))
