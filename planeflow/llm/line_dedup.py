@@ -30,10 +30,10 @@ def lines_of(text: Column) -> Column:
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_lines: int = MIN_LINES) -> DataFrame:
     """(_id, _h, line, run): a run of `run` lines (a power of two) starting there has stood before."""
     spark = docs.sparkSession
-    rows = docs.select(*row_key(id_col, text_col), F.posexplode(lines_of(F.col(text_col))).alias("line", "text"))
+    rows = docs.select(*row_key(id_col, text_col), lines_of(F.col(text_col)).alias("lines")).select("_id", "_h", F.posexplode("lines").alias("line", "text"))
     low, high = -(2 ** (62 - LINE_BITS)), 2 ** (62 - LINE_BITS)
     safe = F.when(F.col("_id") == NULL_ID, F.lit(low - 1)).when((F.col("_id") < low) | (F.col("_id") >= high) | (F.col("line") >= 2**LINE_BITS), F.raise_error(F.lit("an identifier or a document is beyond line positions")).cast("long")).otherwise(F.col("_id"))
-    rows = rows.select("_id", "_h", (F.shiftleft(safe, LINE_BITS) + F.col("line")).alias("pos"), F.xxhash64("text").alias("a"), F.xxhash64(F.col("text"), F.length("text")).alias("b"))
+    rows = rows.select("_id", "_h", (F.shiftleft(safe, LINE_BITS) + F.col("line")).alias("pos"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     pairs = written(rows, "lines")
     found, length = [], 1
     while True:
