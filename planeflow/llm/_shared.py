@@ -16,30 +16,24 @@ NULL_ID = -(2**63)
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='planeflow-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not hasattr(spark, "_planeflow_dir"):
+            spark._planeflow_dir = f"file://{tempfile.mkdtemp(prefix='planeflow-')}"
+        named = spark._planeflow_dir
     return named.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
+    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation.
+
+    Results read such tables lazily, so nothing deletes them; the folder planeflow may go after a job."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planeflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove the files of a written() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two non-null columns, _id and _h, that tell apart rows whose identifiers repeat or are null.
 
