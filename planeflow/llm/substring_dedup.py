@@ -28,7 +28,7 @@ SEED = 4
 FREQUENT = 1 / 5000
 #: Bytes of text handled at once, and packed into one blob a bucket.
 CHUNK = 2 << 20
-FLUSH = 12 << 20
+FLUSH = 24 << 20
 BUCKET_WORDS = 250_000
 LEAST_BUCKETS = 512
 
@@ -128,7 +128,7 @@ class _Packer:
                 part[again[rows], 3] = 0  # nobody waits for an answer: it is given here
                 blobs.append(len(rows).to_bytes(4, "little") + part.T.tobytes() + body)
                 out_bucket.append(int(bucket[rows[0]]))
-            codec = pa.Codec("zstd", 1)
+            codec = pa.Codec("zstd", 3)
             packed = [len(x).to_bytes(4, "little") + codec.compress(x, asbytes=True) for x in blobs]
             yield _rows(out_bucket, packed)
         if self.flags:
@@ -198,7 +198,7 @@ def repeated_windows(strings: list[bytes], window: int) -> tuple[np.ndarray, np.
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     size = int.from_bytes(blob[:4], "little")
-    raw = pa.Codec("zstd", 1).decompress(blob[4:], decompressed_size=size, asbytes=True)
+    raw = pa.Codec("zstd").decompress(blob[4:], decompressed_size=size, asbytes=True)
     n = int.from_bytes(raw[:4], "little")
     info = np.frombuffer(raw, np.int64, 4 * n, 4).reshape(4, n)
     return info, raw[4 + 32 * n :].split(b"\n")
