@@ -134,3 +134,55 @@ def pick_channel(left: np.ndarray, right: np.ndarray, hz: float) -> str:
     if energy["mid"] >= energy["side"]:
         return "mid"
     return "left" if energy["left"] >= energy["right"] else "right"
+
+
+def decode_bytes(data: bytes, form: int) -> np.ndarray:
+    """All samples of one stream's audio bytes, as signed 8-bit numbers."""
+    raw = np.frombuffer(data, np.uint8)
+    if form == K.PCM8:
+        return raw.astype(np.int8)
+    nibbles = np.stack([raw >> 4, raw & 15], 1).ravel()
+    if form == K.FIB4:
+        return np.cumsum(np.array(K.FIB_STEPS)[nibbles]).astype(np.uint8).astype(np.int8)
+    return np.array(adpcm_samples(nibbles), np.int8) if form == K.ADPCM else np.zeros(0, np.int8)
+
+
+def encode_samples(values: np.ndarray, form: int) -> bytes:
+    """Samples in -32768..32767 as audio bytes; two to a byte, the first in the high nibble."""
+    low = np.clip(np.floor(values / 256 + 0.5), -128, 127).astype(int)
+    if form == K.PCM8:
+        return low.astype(np.int8).tobytes()
+    n = fib4_nibbles(low) if form == K.FIB4 else adpcm_nibbles(values)
+    n = np.append(n, np.zeros(len(n) % 2, np.uint8))
+    return (n[::2] << 4 | n[1::2]).astype(np.uint8).tobytes()
+
+
+def stream_audio(packets: DataFrame, headers: DataFrame) -> DataFrame:
+    """(stream_id, samples, n, crc): the audio of all packets is one stream, whose state runs on."""
+    info = headers.select("stream_id", "audio_format")
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n")
+        out = decode_bytes(b"".join(bytes(a) for a in part["audio"] if a is not None), int(part["audio_format"].iloc[0]))
+        return pd.DataFrame([(part["stream_id"].iloc[0], out.tobytes(), len(out))], columns=["stream_id", "samples", "n"])
+
+    found = packets.filter(F.size("errors") == 0).join(info, "stream_id").filter("audio_format <> 0").select("stream_id", "n", "audio", "audio_format")
+    return found.groupBy("stream_id").applyInPandas(whole, "stream_id string, samples binary, n long").withColumn("crc", F.crc32("samples"))
+
+
+def slices(total: int, frames: int, hz: float) -> list[tuple[int, int]]:
+    """(first, end) sample of each packet: even counts, by exact rates."""
+    through = lambda n: min(total, 2 * int((n + 1) * (hz / K.FPS) // 2))
+    return [(through(n - 1) if n else 0, through(n)) for n in range(frames)]
+
+
+def better_audio(build, budget: int, lossless: bool, rates: list[int]) -> tuple[int, int]:
+    """(format, rate) that a stream can afford: build(format, rate) gives its bytes.
+
+    Fibonacci delta at the first rate is what there is; with lossless video and room PCM replaces it, and then
+    the highest of the other rates that fits."""
+    form, rate = K.FIB4, rates[0]
+    if lossless and build(K.PCM8, rate) <= budget:
+        form = K.PCM8
+        rate = max([r for r in rates if build(form, r) <= budget], default=rate)
+    return form, rate

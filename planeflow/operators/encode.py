@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from .. import constants as K
-from ..functions.bits import depack, planarize
+from ..functions.bits import planarize
 from ..functions.cost import copy_cycles, late_vbls
 from ..sources.bitstream import put_header, put_packet, put_palettes
 from . import delta as D
@@ -33,6 +33,15 @@ class Settings:
     band_rows: int = 0
     band_colors: int = 0
 
+    def __post_init__(self):
+        good = {
+            "planes": 1 <= self.planes <= 5, "active rows": 0 <= self.y0 < self.y1 <= K.HEIGHT, "threshold": self.threshold >= 0, "hold": self.min_hold >= 1, "lateness": self.max_late >= 0,
+            "prediction": self.predict in ("best", "hidden", "visible"), "audio": self.audio_format in K.CYC_FILL and (not self.audio_format or self.period > 0),
+            "bands": self.band_rows >= 0 and (not self.band_rows or 1 <= self.band_colors < 1 << self.planes),
+        }
+        if bad := [name for name, ok in good.items() if not ok]:
+            raise ValueError(f"out of range: {', '.join(bad)}")
+
 
 @dataclass
 class Encoded:
@@ -157,7 +166,3 @@ def fit_to_budget(build, budget: int, doublings: int = 12, halvings: int = 10) -
             low, high = (low, middle) if tried[-1][1].totals["bytes"] <= budget else (middle, high)
     rank = lambda t: (0, t[1].totals["error"], t[0]) if t[1].totals["bytes"] <= budget else (1, t[1].totals["bytes"], t[0])
     return min(tried, key=rank)
-
-
-def indices(rows: np.ndarray) -> np.ndarray:
-    return depack(rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import bits, color, cost
-from ..operators import audio, calibrate, decode, prepare, quantize, search
+from ..operators import audio, calibrate, decode, prepare, quantize, report, search
 from ..sources import bitstream, disk
 from . import clips
 
@@ -496,3 +496,29 @@ def repeated_frames(spark, d):
         return pd.DataFrame([(part["user_id"].iloc[0], len(part), len(gone), interval, regular)], columns=["user_id", "frames", "dropped", "interval", "regular"])
 
     return _deltas(spark, d).groupBy("user_id").applyInPandas(find, "user_id long, frames long, dropped long, interval double, regular double")
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, o_orderkey % 7 AS irqs, 300 + o_custkey % 200 AS period, CAST(floor(o_totalprice) AS BIGINT) AS fill, o_custkey % 50 AS vsync FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS disk_id, CASE WHEN vsync > 0 THEN CAST(floor(fill / 1024 / (vsync / 50.0::DOUBLE) * 1000 + 0.5) AS BIGINT) END AS load_milli,
+  CASE WHEN irqs >= 2 THEN CAST(floor((irqs * {313 * 227} - (irqs - 1) * 512 * period) * 1000 / {K.PAULA_HZ!r}::DOUBLE * 1000 + 0.5) AS BIGINT) END AS drift_milli,
+  CASE WHEN irqs >= 2 AND fill > 0 THEN CAST(floor(fill / irqs * 1000 / {K.PAULA_HZ!r}::DOUBLE * 1000 + 0.5) AS BIGINT) END AS fill_milli FROM p""")
+def play_report(spark, d):
+    o = table(spark, d, "orders")
+    n, zero = F.col("o_orderkey") % 7, F.lit(0).cast("long")
+    names = {"audio_irqs": n, "period": 300 + F.col("o_custkey") % 200, "fill_sum": F.floor("o_totalprice"), "bytes": F.floor("o_totalprice"), "load_vsync": F.col("o_custkey") % 50, "last_vbl": n, "audio_format": F.lit(1)}
+    rest = "packets late max_late vbl vbl_expected first_vbl first_line_cck last_line_cck fill_max copies copy_sum copy_max".split()
+    play = o.select(F.col("o_orderkey").cast("string").alias("disk_id"), *(c.alias(k) for k, c in names.items()), *(zero.alias(k) for k in rest))
+    out = report.play_report(play)
+    milli = lambda c: F.floor(F.col(c) * 1000 + 0.5)
+    return out.select("disk_id", milli("load_kb_s").alias("load_milli"), milli("drift_ms").alias("drift_milli"), milli("fill_ms").alias("fill_milli"))
+
+
+@query("SELECT p_partkey, (1760 - 2 - CAST(ceil((p_partkey * 37 + p_size) / 512.0) AS BIGINT) - 6) * 512 AS budget FROM part")
+def disk_budget(spark, d):
+    return table(spark, d, "part").select("p_partkey", report.budget(F.col("p_partkey") * 37 + F.col("p_size"), 6).alias("budget"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS disk_id, count(*) FILTER (floor(o_totalprice) % 3 > 0) AS deltas, max(CAST(floor(o_totalprice) AS BIGINT) % 3) FILTER (floor(o_totalprice) % 3 > 0) AS worst FROM orders GROUP BY o_custkey")
+def timing_summary(spark, d):
+    timing = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("disk_id"), F.col("o_orderkey").alias("n"), (F.floor("o_totalprice") % 3).alias("cck"))
+    return report.timing_summary(timing).select("disk_id", "deltas", F.round(F.col("worst_ms") * K.PAULA_HZ / 1000).cast("long").alias("worst"))

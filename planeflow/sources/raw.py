@@ -1,12 +1,16 @@
-"""Data sources "rawvideo" and "rawpcm": files of rgb24 frames and of s16le samples, one partition a file."""
+"""Data sources "rawvideo" and "rawpcm" (rgb24 frames, s16le samples; a partition a file), and "binaryrows" to write files."""
 
 from __future__ import annotations
 
 import glob
+import os
+import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .. import constants as K
 
@@ -79,9 +83,69 @@ class RawPcm(DataSource):
         return _Pcm(self.options)
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class _RowWriter(DataSourceWriter):
+    """Every row (name, content) becomes a file; files appear under their names when the whole job is done."""
+
+    def __init__(self, folder: str):
+        self.folder = Path(folder)
+
+    def write(self, rows):
+        self.folder.mkdir(parents=True, exist_ok=True)
+        names = []
+        for name, content in rows:
+            temporary = self.folder / f".{name}.{uuid.uuid4().hex}"
+            temporary.write_bytes(bytes(content))
+            names.append((str(temporary), name))
+        return _Written(names)
+
+    def commit(self, messages):
+        for message in messages:
+            for temporary, name in message.names if message else ():
+                os.replace(temporary, self.folder / name)
+
+    def abort(self, messages):
+        for message in messages:
+            for temporary, _ in message.names if message else ():
+                Path(temporary).unlink(missing_ok=True)
+
+
+class BinaryRows(DataSource):
+    """Writes rows (name, content) as files of a folder that all executors mount."""
+
+    @classmethod
+    def name(cls):
+        return "binaryrows"
+
+    def schema(self):
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite):
+        return _RowWriter(self.options["path"])
+
+
+def frames(files: DataFrame) -> DataFrame:
+    """(clip_id, content) of rgb24 files, from any store that Spark reads, to (clip_id, frame, y, rgb)."""
+    row, size = K.WIDTH * 3, K.WIDTH * K.HEIGHT * 3
+
+    def split(batches):
+        for batch in batches:
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for f in range(len(content) // size):
+                    part = [content[f * size + y * row : f * size + (y + 1) * row] for y in range(K.HEIGHT)]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * K.HEIGHT), pa.array([f] * K.HEIGHT, pa.int32()), pa.array(range(K.HEIGHT), pa.int32()), pa.array(part, pa.binary())], ["clip_id", "frame", "y", "rgb"])
+
+    return files.select("clip_id", "content").mapInArrow(split, "clip_id string, frame int, y int, rgb binary")
+
+
 def register(spark) -> None:
     spark.dataSource.register(RawVideo)
     spark.dataSource.register(RawPcm)
+    spark.dataSource.register(BinaryRows)
 
 
 def probe(text: str) -> dict:
