@@ -17,10 +17,10 @@ from planeflow.llm.packing import pack
 from planeflow.llm.quality_rules import quality_filter
 
 #: Token shares after mixing, and the tokens wanted against those that came in. Poor documents are the rules'
-#: business, so here the domains are good and toxic: the toxic ones are thinned out. At this budget a document
-#: that is surely good has a rate above 1; one that is more likely good than not stays at least once.
+#: business, so here the domains are good and toxic, and the toxic ones are thinned out. At this budget a document
+#: that is surely good has a rate of about 1, with few repeats; one that is more likely good than not stays at least once.
 TARGETS = {"good": 0.995, "toxic": 0.005}
-BUDGET = 1.1
+BUDGET = 0.9
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
