@@ -26,7 +26,7 @@ SMALLEST = 64
 END_ID = 2
 FAN = 256
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 VOCABULARY = "word_bpe_49k.json"
 
 PIECE = "run long, place long, k int, {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
