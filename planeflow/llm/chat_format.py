@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 STRIDE = 512
 HISTORY = 128
 
@@ -31,35 +33,53 @@ def unescaped(c: Column) -> Column:
     return c
 
 
+def placed_turns(turns: DataFrame, stride: int) -> DataFrame:
+    """conv, role, piece, begin, end, span of each turn; begin and end are token offsets in its conversation.
+
+    The prefix sums are distributed: turns are sorted by range into blocks, so a conversation of any size spreads
+    over blocks, and is summed up block by block. Only the first conversation of a block can have begun in an
+    earlier one, so the sums that are carried over are one row a block at most, and are broadcast."""
+    order = ["turn", "role", "text", "tie"]  # turns that tie are equal, or told apart by role and text
+    t = turns.withColumn("tie", F.monotonically_increasing_id())
+    t = written(t.repartitionByRange("conv", *order).withColumn("block", F.spark_partition_id()), "turns")
+    sums = t.groupBy(F.col("conv").alias("of"), F.col("block").alias("at")).agg(F.sum("tokens").alias("here"))
+    carried = sums.withColumn("before", F.sum("here").over(Window.partitionBy("of").orderBy("at")) - F.col("here")).filter("before > 0").drop("here")
+    t = t.join(F.broadcast(carried), F.col("conv").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")), "left")
+    inside = F.sum("tokens").over(Window.partitionBy("conv", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumn("end", F.coalesce("before", F.lit(0)) + inside).withColumn("begin", F.col("end") - F.col("tokens"))
+    # turns inside one cell are neighbours, and one turn at most begins in a cell and leaves it, after them
+    span = F.expr(f"2 * (begin div {stride}) + if(begin div {stride} <> (end - 1) div {stride}, 1, 0)")
+    return t.select("conv", "role", formatted("role", "text").alias("piece"), "begin", "end", span.alias("span"))
+
+
+def formatted(role: str, text: str) -> Column:
+    return F.concat(F.lit("### "), escaped(F.col(role)), F.lit(": "), escaped(F.col(text)), F.lit("</turn>\n"))
+
+
 def chat_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
     """One row per window: conv, span, text, n_repeated, targets (array of 0-based start and length in text).
 
-    n_repeated turns at the window's head are context. Turns are taken in order of turn, role and text, so
-    ties have a defined order; repeated rows are repeated turns. Null text or role: empty. Rows with a null
-    conversation form one conversation. An empty table gives no windows."""
+    Spans are numbered in order, with gaps. n_repeated turns at the window's head are context. Turns are taken in
+    order of turn, role and text, so ties have a defined order; repeated rows are repeated turns. Null text or
+    role: empty. Rows with a null conversation form one conversation. An empty table gives no windows. No task
+    holds a conversation: the largest unit is a window, of stride and history tokens, a system turn, or one turn."""
     t = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    formatted = F.concat(F.lit("### "), escaped(F.col("role")), F.lit(": "), escaped(F.col("text")), F.lit("</turn>\n"))
-    t = t.withColumn("piece", formatted).withColumn("tokens", F.regexp_count("piece", F.lit(r"\w+|[^\w\s]")).cast("long"))
-    conv = Window.partitionBy("conv")
-    in_order = conv.orderBy("turn", "role", "text")
-    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("i", F.row_number().over(in_order)).withColumn("end", F.sum("tokens").over(upto))
-    t = t.withColumn("begin", F.col("end") - F.col("tokens"))
-    t = t.withColumn("cell", F.expr(f"begin div {stride}")).withColumn("across", F.expr(f"begin div {stride} <> (end - 1) div {stride}"))
-    new = F.coalesce((F.lag("cell").over(conv.orderBy("i")) != F.col("cell")) | F.lag("across").over(conv.orderBy("i")) | F.col("across"), F.lit(True))
-    t = t.withColumn("new", new).withColumn("span", F.sum(F.col("new").cast("int")).over(conv.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    # the first turn of which the tokens from there up to this turn are within the history
-    t = t.withColumn("oldest", F.min("i").over(conv.orderBy("begin").rangeBetween(-history, 0)))
-    head = F.when(F.col("role") == "system", F.lit(1)).otherwise(F.lit(0))
-    whole = t.groupBy("conv").agg(
-        F.array_sort(F.collect_list(F.struct("i", "role", "piece"))).alias("turns"),
-        F.array_sort(F.collect_list(F.when(F.col("new"), F.struct("i", "span", "oldest")))).alias("cuts"),
-        F.max(F.when(F.col("i") == 1, head)).alias("system"),
-    )
-    cut = whole.select("conv", "turns", "system", F.posexplode("cuts").alias("p", "cut"), F.size("turns").alias("n"), F.expr("transform(cuts, c -> c.i)").alias("firsts"))
-    last = F.expr("coalesce(get(firsts, p + 1), n + 1)")
-    kept = F.expr("if(system = 1 and cut.oldest > 1, concat(slice(turns, 1, 1), slice(turns, cut.oldest, cut.i - cut.oldest)), slice(turns, cut.oldest, cut.i - cut.oldest))")
-    cut = cut.select("conv", F.col("cut.span").alias("span"), kept.alias("context"), F.slice("turns", F.col("cut.i"), last - F.col("cut.i")).alias("own"))
+    t = t.withColumn("tokens", F.regexp_count(formatted("role", "text"), F.lit(r"\w+|[^\w\s]")).cast("long"))
+    placed = written(placed_turns(t, stride), "placed")
+    starts = placed.groupBy("conv", "span").agg(F.min("begin").alias("start"))
+    spans = starts.select(F.col("conv").alias("of"), F.col("span").alias("to"), "start")
+    # a span's history begins in its start's cell of history tokens, or in the one before
+    near = F.expr(f"start div {max(history, 1)}")
+    looks = spans.withColumn("cell", F.explode(F.array(near, near - 1)))
+    past = placed.filter(F.col("end") - F.col("begin") <= history).withColumn("own_cell", F.expr(f"begin div {max(history, 1)}"))
+    before = looks.join(past, F.col("of").eqNullSafe(F.col("conv")) & (F.col("cell") == F.col("own_cell")) & (F.col("begin") >= F.col("start") - history) & (F.col("end") <= F.col("start")))
+    system = placed.filter("begin = 0 and role = 'system'")
+    first = spans.filter(F.col("start") > history).join(system, F.col("of").eqNullSafe(F.col("conv")))
+    parts = placed.select("conv", "span", F.struct(F.lit(1).alias("own"), "begin", "role", "piece").alias("x"))
+    for again in (before, first):
+        parts = parts.unionByName(again.select("conv", F.col("to").alias("span"), F.struct(F.lit(0).alias("own"), "begin", "role", "piece").alias("x")))
+    cut = parts.groupBy("conv", "span").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    cut = cut.select("conv", "span", F.filter("all", lambda x: x["own"] == 0).alias("context"), F.filter("all", lambda x: x["own"] == 1).alias("own"))
     # a target is an assistant turn's text: after "### assistant: ", before "</turn>\n"
     targets = """
         filter(aggregate(own, struct(cast(aggregate(context, 0L, (n, t) -> n + length(t.piece)) as long) as at, cast(array() as array<struct<start: long, length: long>>) as found),
@@ -70,12 +90,13 @@ def chat_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """One row per conversation, out of the windows' texts and masks alone."""
+    """One row per conversation, out of the windows' texts and masks alone.
+
+    A digest of a whole conversation needs its text as one value, so this check, unlike chat_windows, holds a
+    conversation in one task."""
     parts = F.expr("transform(slice(split(text, '</turn>\\n'), n_repeated + 1, size(split(text, '</turn>\\n')) - n_repeated - 1), x -> substring(x, 5))")
     w = windows.withColumn("parts", parts)
-    role, body = "substring_index(x, ': ', 1)", "substring(x, length(substring_index(x, ': ', 1)) + 3)"
     turns = F.transform("parts", lambda x: F.concat(unescaped(F.substring_index(x, ": ", 1)), F.lit("\n"), unescaped(x.substr(F.length(F.substring_index(x, ": ", 1)) + 3, F.length(x))), F.lit("\n")))
-    del role, body
     loss = F.array_join(F.transform("targets", lambda m: unescaped(F.col("text").substr(m["start"].cast("int") + 1, m["length"].cast("int")))), "")
     w = w.select("conv", "span", F.size("parts").alias("n"), F.array_join(turns, "").alias("turns"), loss.alias("loss"), F.length("text").alias("chars"))
     whole = w.groupBy("conv").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("span", "turns", "loss"))).alias("spans"))

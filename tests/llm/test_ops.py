@@ -121,6 +121,26 @@ def test_chat_windows_read_back(spark):
     assert several
 
 
+def test_chat_spreads_a_large_conversation_over_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, 0, "system", "be brief")] + [(1, t, "assistant" if t % 2 else "user", " ".join(["word"] * int(rng.integers(0, 90)))) for t in range(1, 600)]
+    rows += [(None, 3, "user", "same")] * 40 + [(c, 0, "user", "hello") for c in range(2, 40)]
+    turns = chat(spark, rows).repartition(5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    got = []
+    try:
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted(map(str, chat_format.chat_windows(turns).collect())))
+            sizes = chat_format.read_back(chat_format.chat_windows(turns)).filter("n_turns >= 40").select("n_turns").collect()
+            assert sorted(r[0] for r in sizes) == [40, 600]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got[0] == got[1] and len(got[0]) > 60
+
+
 def test_chat_without_rows(spark):
     assert chat_format.read_back(chat_format.chat_windows(chat(spark, []))).count() == 0
 
