@@ -69,7 +69,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spots = runs.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_list(first))).alias("gone"), F.max("run").alias("longest_run"))
     rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.col(text_col).cast("string").alias("_t"))
     both = rows.join(spots, ["_id", "_h"], "left").withColumn("lines", lines_of(F.col("_t")))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))  # hashed, in order
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
     return both.select("id", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 
 
