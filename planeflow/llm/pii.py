@@ -175,7 +175,7 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = written(each.withColumn("value", canonical(F.col("kind"), F.col("mention"))), "values")
     table = surrogates(each.select("kind", "value").distinct(), key)
     new = each.join(written(table, "surrogates"), ["kind", "value"]).select("_id", "_h", F.struct("i", "kind", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")).alias("x"))
-    by_row = new.groupBy("_id", "_h").agg(F.array_sort(F.array_distinct(F.collect_list("x"))).alias("xs"))
+    by_row = new.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("x")).alias("xs"))
     both = dirty.join(by_row, ["_id", "_h"])
     pieces = F.split("text", PATTERN, -1)
     text = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("xs", i)["new"], F.lit("")))), "")
