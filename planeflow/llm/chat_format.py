@@ -70,7 +70,7 @@ def chat_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     spans = starts.select(F.col("conv").alias("of"), F.col("span").alias("to"), "start")
     # a span's history begins in its start's cell of history tokens, or in the one before
     near = F.expr(f"start div {max(history, 1)}")
-    looks = spans.withColumn("cell", F.explode(F.array(near, near - 1)))
+    looks = spans.filter("start > 0").withColumn("cell", F.explode(F.array(near, near - 1)))
     past = placed.filter(F.col("end") - F.col("begin") <= history).withColumn("own_cell", F.expr(f"begin div {max(history, 1)}"))
     before = looks.join(past, F.col("of").eqNullSafe(F.col("conv")) & (F.col("cell") == F.col("own_cell")) & (F.col("begin") >= F.col("start") - history) & (F.col("end") <= F.col("start")))
     system = placed.filter("begin = 0 and role = 'system'")
