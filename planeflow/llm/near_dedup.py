@@ -9,8 +9,12 @@ shingles within a band: with M aligned of n and m, similarity is M / (n + m - M)
 No bucket's pairs are all emitted. Copies with equal words are one node. Buckets are sorted by range, so a
 large one spans tasks; first a node meets its bucket's first one in a few sketches, which joins a group of any
 size with one pair a member. Then, for all sketches, buckets whose nodes are still in different classes link
-each node to its neighbour in order of length and to the first one. Classes are connected components, found
-by contracting the links in random order.
+each node to its neighbour in order of length and to the first one. Last, buckets that still hold several
+classes are cut into blocks, and each pair of blocks is one cell: a cell compares all its pairs that share a
+sketch, are in different classes and similar in length. So no two documents that share a sketch are left
+uncompared, unless they are in one class already. Cells grow with the square of a bucket that stays apart, but
+texts are copied once a block, not once a pair. Classes are connected components, found by contracting the
+links in random order.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ CHUNK = 2 << 20
 #: Shingles that are sampled at once, for bounded memory on long texts.
 BLOCK = 1 << 16
 
+#: Members of a bucket that are one block; two blocks are one cell.
+MEMBERS = 64
+
 LINK = "a long, b long"
 
 
@@ -184,6 +191,77 @@ def _verify(similarity: float):
     return verify
 
 
+def _cells(blocked: DataFrame) -> DataFrame:
+    """(cell, node, kin, n, f, side) of (key, node, kin, n, f): every two members of a key
+    that are in different classes meet in a cell, as sides 0 and 1 or both as side 2.
+
+    A class with MEMBERS members in a bucket has blocks of its own, which don't meet each other; the others share."""
+    sizes = blocked.groupBy("key", "kin").agg(F.count("*").alias("members"))
+    sizes = sizes.withColumn("own", F.when(F.col("members") >= MEMBERS, F.col("kin")).otherwise(-1))
+    kinds = sizes.groupBy("key", "own").agg(F.ceil(F.sum("members") / MEMBERS).cast("int").alias("parts"))
+    kinds = written(kinds, "kinds")
+    x, y = (kinds.select("key", F.col("own").alias(f"own{i}"), F.col("parts").alias(f"parts{i}")) for i in "01")
+    cells = x.join(y.hint("merge"), "key").filter("own0 < own1 or (own0 = -1 and own1 = -1)")
+    for i in "01":
+        cells = cells.withColumn(f"part{i}", F.explode(F.sequence(F.lit(0), F.col(f"parts{i}") - 1)))
+    cells = cells.filter("own0 < own1 or part0 <= part1").withColumn("cell", F.xxhash64("key", "own0", "part0", "own1", "part1"))
+    alone = F.expr("own0 = own1 and part0 = part1")
+    left = cells.select("cell", "key", F.col("own0").alias("own"), F.col("part0").alias("part"), F.when(alone, 2).otherwise(0).alias("side"))
+    right = cells.filter(~alone).select("cell", "key", F.col("own1").alias("own"), F.col("part1").alias("part"), F.lit(1).alias("side"))
+    placed = blocked.join(sizes.select("key", "kin", "own").hint("merge"), ["key", "kin"]).join(kinds.hint("merge"), ["key", "own"])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    return placed.join(left.unionByName(right).hint("merge"), ["key", "own", "part"]).select("cell", "node", "kin", "n", "f", "side")
+
+
+def _compare(similarity: float):
+    """Links between the classes of each cell of (cell, node, kin, n, f, sketches, side, text), which come cell by cell."""
+
+    def links(rows: list[tuple]) -> list[tuple]:
+        node, kin, n, f, side = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4, 6))
+        found, all_sketches, out = {}, np.array([r[5] for r in rows], np.int64), []
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in found:
+                w = Words(*buffers(pa.array([rows[i][7]], pa.large_string())))
+                found[i] = labelled(windows(w.hashes(), SHINGLE))
+            return found[i]
+
+        for i in range(len(rows)):
+            fit = (kin != kin[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9)
+            fit &= side == 1 if side[i] == 0 else (side == 2) & (np.arange(len(rows)) > i) if side[i] == 2 else False
+            at = np.flatnonzero(fit)
+            same = all_sketches[at] == all_sketches[i]
+            for j in at[same[:, f[i]] & ~same[:, : f[i]].any(axis=1)].tolist():  # others meet in an earlier sketch
+                if kin[i] != kin[j] and aligned(shingles(i), shingles(j), similarity) >= similarity - 1e-12:
+                    out.append((int(node[i]), int(node[j])))
+                    kin[kin == kin[j]] = kin[i]
+        return out
+
+    def compare(batches):
+        last, rows, made = None, [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != last:
+                    made += links(rows)
+                    last, rows = row[0], []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.int64()) for i in range(2)], ["a", "b"])
+            made = []
+        made = links(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return compare
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after links between nodes, which join their classes."""
+    for side in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias("top")), side, "left").withColumn(side, F.coalesce("top", side)).drop("top")
+    more = components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    risen = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(risen.unionByName(more.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links; root is one node of its component.
 
@@ -219,23 +297,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = written(own, "own")
     keys = own.select("node", "n", F.posexplode("sketches").alias("f", "s")).withColumn("key", F.xxhash64("f", "s"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def worded(wanted: DataFrame) -> DataFrame:
         where = own.join(wanted, "node", "left_semi").select("node", "_id", "_h")
-        words = written(rows.join(where, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "_t"), "texts")
+        return written(rows.join(where, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "_t"), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        words = worded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         full = pairs.join(words.select(F.col("node").alias("a"), F.col("_t").alias("x")).hint("merge"), "a")
         full = full.join(words.select(F.col("node").alias("b"), F.col("_t").alias("y")).hint("merge"), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_verify(similarity), LINK)
 
+    def mixed(roots: DataFrame) -> DataFrame:
+        """The members of buckets that hold several classes."""
+        kin = written(keys.join(roots, "node", "left").select("key", "node", "n", "f", F.coalesce("root", "node").alias("kin")), "kin")
+        several = written(kin.groupBy("key").agg(F.min("kin").alias("low"), F.max("kin").alias("high")).filter("low < high").select("key"), "mixed")
+        return kin.join(several.hint("merge"), "key")
+
     roots = components(verified(written(_pairs(keys.filter(f"f < {FIRST}").select("key", "node", "n"), _star), "pairs")))
-    kin = written(keys.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("kin")), "kin")
-    mixed = written(kin.groupBy("key").agg(F.min("kin").alias("low"), F.max("kin").alias("high")).filter("low < high").select("key"), "mixed")
-    late = verified(written(_pairs(kin.join(mixed.hint("merge"), "key").select("key", "node", "n", "kin"), _star_and_chain), "pairs"))
-    for side in ("a", "b"):  # links between the classes of the first round
-        late = late.join(roots.select(F.col("node").alias(side), F.col("root").alias("top")), side, "left").withColumn(side, F.coalesce("top", side)).drop("top")
-    more = components(late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    risen = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    roots = written(risen.unionByName(more.join(roots.select("node"), "node", "left_anti")), "roots")
+    roots = _joined(roots, verified(written(_pairs(mixed(roots).select("key", "node", "n", "kin"), _star_and_chain), "pairs")))
+    rest = written(mixed(roots), "rest")
+    words = worded(rest.select("node").distinct()).join(own.select("node", "sketches").hint("merge"), "node")
+    cells = _cells(rest).join(words.hint("merge"), "node")
+    cells = cells.select("cell", "node", "kin", "n", "f", "sketches", "side", "_t").repartition("cell").sortWithinPartitions("cell")
+    roots = _joined(roots, written(cells.mapInArrow(_compare(similarity), LINK), "links"))
     known = member.join(roots, "node", "left").select("_id", "_h", "n", "rep", F.coalesce("root", "node").alias("root"))
     known = written(known, "known")
     least = known.groupBy("root").agg(F.min("rep").alias("class_id"))

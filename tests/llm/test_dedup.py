@@ -163,6 +163,18 @@ def test_near_group_of_many_is_one_class(spark):
     assert near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 101
 
 
+def test_near_pairs_in_a_family_of_strangers(spark):
+    """500 words, 435 of them in common: strangers are below 0.8 but share sketches; each pair has 25 more in common."""
+    base = [f"v{i}" for i in range(435)]
+    rows = []
+    for i in range(200):
+        pair = [f"p{i // 2}_{j}" for j in range(25)]
+        rows.append((i, " ".join(base + pair + [f"o{i}_{j}" for j in range(40)])))
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert ordered_similarity(marks(rows[0][1]), marks(rows[1][1])) > 0.8 > ordered_similarity(marks(rows[0][1]), marks(rows[2][1]))
+    assert {r["id"]: r["class_id"] for r in found} == {i: i // 2 * 2 for i in range(200)}
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
