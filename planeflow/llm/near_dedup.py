@@ -3,8 +3,8 @@
 A document is the sequence of its shingles (five words), each labelled with its occurrence number. Each of
 SKETCHES hash functions samples the TAKE shingles of least hash; their sequence in text order is one sketch.
 So two documents share a sketch only if the same shingles stand in the same order: the chance follows edit
-similarity, not just overlap. Documents that share a sketch are candidates, verified by aligning the labelled
-shingles within a band: with M aligned of n and m, similarity is M / (n + m - M), and 0.8 or more is a link.
+similarity, not just overlap. Documents that share a sketch are candidates, verified by aligning the plain
+shingles (without labels) within a band: with M aligned of n and m, similarity is M / (n + m - M), and 0.8 or more is a link.
 
 No bucket's pairs are all emitted. Copies with equal words are one node. Buckets are sorted by range, so a
 large one spans tasks; first a node meets its bucket's first one in a few sketches, which joins a group of any
@@ -40,6 +40,8 @@ CHUNK = 2 << 20
 #: Shingles that are sampled at once, for bounded memory on long texts.
 BLOCK = 1 << 16
 
+#: Matches a shingle of both texts, beyond which they are aligned by rows of bits.
+MATCHES = 16
 #: Members of a bucket that are one block; two blocks are one cell.
 MEMBERS = 64
 
@@ -80,11 +82,12 @@ def sketches(marks: np.ndarray, count: int = SKETCHES, take: int = TAKE) -> np.n
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
-    """Similarity of two labelled shingle sequences: the longest common subsequence within the band.
+    """Similarity of two shingle sequences, which may repeat shingles: the longest common subsequence in the band.
 
     More than (1 - similarity) / (1 + similarity) of all shingles cannot be off the diagonal at the wanted
-    similarity, so matches outside that band don't count. As labelled shingles don't repeat, the longest
-    common subsequence is the longest increasing chain of matches."""
+    similarity, so matches outside that band don't count. The subsequence is the longest increasing chain of
+    matches, a shingle's positions in falling order; where matches are very many, it is counted by rows of bits.
+    Below the wanted similarity the result may be an upper bound that is also below."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
@@ -92,10 +95,18 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     if min(n, m) < least - 1e-9:
         return 0.0
     order = np.argsort(b, kind="stable")
-    at = np.minimum(np.searchsorted(b, a, sorter=order), m - 1)
-    to = order[at]
-    hit = (b[to] == a) & (np.abs(to - np.arange(n)) <= n + m - 2 * least + 1)
-    chain = to[hit]
+    ranked = b[order]
+    low, high = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a, "right")
+    count = high - low
+    whole = int(np.count_nonzero(count))
+    if whole < least - 1e-9:
+        return whole / (n + m - whole)
+    if int(count.sum()) > MATCHES * (n + m):
+        best = common_by_bits(a.tolist(), b.tolist())
+        return best / (n + m - best)
+    row = np.repeat(np.arange(n), count)
+    to = order[high[row] - 1 - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))]
+    chain = to[np.abs(to - row) <= n + m - 2 * least + 1]
     if len(chain) < least - 1e-9:
         return len(chain) / (n + m - len(chain))
     best = len(chain)
@@ -111,6 +122,25 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return best / (n + m - best)
 
 
+def common_by_bits(a: list[int], b: list[int]) -> int:
+    """The length of the longest common subsequence, with a bit for each of b."""
+    at: dict[int, list[int]] = {}
+    for i, y in enumerate(b):
+        at.setdefault(y, []).append(i)
+    places, full = {}, (1 << len(b)) - 1
+    for x in set(a) & at.keys():
+        raw = bytearray(len(b) // 8 + 1)
+        for i in at[x]:
+            raw[i >> 3] |= 1 << (i & 7)
+        places[x] = int.from_bytes(raw, "little")
+    free = full
+    for x in a:
+        hit = free & places.get(x, 0)
+        if hit:
+            free = ((free + hit) | (free - hit)) & full
+    return len(b) - free.bit_count()
+
+
 def _sketch(batches):
     for batch in batches:
         col = texts(batch.column(2))
@@ -183,7 +213,7 @@ def _verify(similarity: float):
                     sides.append((w, windows(w.hashes(), SHINGLE)))
                 good = []
                 for i in range(b - a):
-                    x, y = (labelled(grams[w.first[i] : max(w.first[i], w.first[i + 1] - SHINGLE + 1)]) for w, grams in sides)
+                    x, y = (grams[w.first[i] : max(w.first[i], w.first[i + 1] - SHINGLE + 1)] for w, grams in sides)
                     good.append(aligned(x, y, similarity) >= similarity - 1e-12)
                 mask = pa.array(good)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(mask), batch.column(1).slice(a, b - a).filter(mask)], ["a", "b"])
@@ -223,7 +253,7 @@ def _compare(similarity: float):
         def shingles(i: int) -> np.ndarray:
             if i not in found:
                 w = Words(*buffers(pa.array([rows[i][7]], pa.large_string())))
-                found[i] = labelled(windows(w.hashes(), SHINGLE))
+                found[i] = windows(w.hashes(), SHINGLE)
             return found[i]
 
         for i in range(len(rows)):

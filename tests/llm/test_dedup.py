@@ -184,6 +184,35 @@ def test_alignment_is_the_longest_common_subsequence():
         assert abs(near_dedup.aligned(a, b) - ordered_similarity(a.tolist(), b.tolist())) < 1e-12
 
 
+def common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(best[j] + 1 if x == y else max(best[j + 1], new[j]))
+        best = new
+    return best[-1]
+
+
+def test_alignment_of_repeated_shingles(monkeypatch):
+    p, q, r = ([f"{name}{i}" for i in range(n)] for name, n in (("p", 50), ("q", 50), ("r", 350)))
+    rows = pa.record_batch({"a": [1], "b": [2], "x": [" ".join(p + q + p + r)], "y": [" ".join(q + p + r)]})
+    assert [b.num_rows for b in near_dedup._verify(0.8)(iter([rows]))] == [1]
+    rng = np.random.default_rng(7)
+    pairs = []
+    for size in (2, 5, 40):
+        for _ in range(30):
+            a = rng.integers(0, size, 90).astype(np.uint64)
+            b = np.insert(np.delete(a, rng.integers(0, 90, 6)), rng.integers(0, 80, 4), rng.integers(0, size, 4).astype(np.uint64))
+            pairs.append((a, b))
+    for limit in (10**6, 0):
+        monkeypatch.setattr(near_dedup, "MATCHES", limit)
+        for a, b in pairs:
+            m = common(a.tolist(), b.tolist())
+            want, got = m / (len(a) + len(b) - m), near_dedup.aligned(a, b)
+            assert abs(got - want) < 1e-12 if want >= 0.8 else got < 0.8
+
+
 def test_sketches_do_not_depend_on_blocks(monkeypatch):
     x = near_dedup.labelled(np.random.default_rng(3).integers(0, 500, 3000).astype(np.uint64))
     assert len(set(x.tolist())) == len(x)
