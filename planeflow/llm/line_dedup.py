@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import NULL_ID, row_key, written
+from ._shared import row_key, written
 
 #: A run has so many lines at least; a power of two.
 MIN_LINES = 2
-#: Positions are identifier << LINE_BITS | line.
+#: Positions are document number << LINE_BITS | line.
 LINE_BITS = 24
 
 
@@ -27,13 +27,26 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _h, doc): the distinct rows of docs, numbered from 0 in order of identifier and text hash."""
+    keys = docs.select(*row_key(id_col, text_col)).distinct().repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h")
+    keys = written(keys.withColumn("at", F.monotonically_increasing_id()), "documents")
+    keys = keys.select("_id", "_h", F.shiftright("at", 33).alias("task"), F.col("at").bitwiseAND(2**33 - 1).alias("nth"))
+    before, starts = 0, []
+    for task, n in sorted(keys.groupBy("task").count().collect()):  # one row a task
+        starts.append((task, before))
+        before += n
+    starts = docs.sparkSession.createDataFrame(starts, "task long, start long")
+    return keys.join(F.broadcast(starts), "task").select("_id", "_h", (F.col("start") + F.col("nth")).alias("doc"))
+
+
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_lines: int = MIN_LINES) -> DataFrame:
     """(_id, _h, line, run): a run of `run` lines (a power of two) starting there has stood before."""
     spark = docs.sparkSession
     rows = docs.select(*row_key(id_col, text_col), lines_of(F.col(text_col)).alias("lines")).select("_id", "_h", F.posexplode("lines").alias("line", "text"))
-    low, high = -(2 ** (62 - LINE_BITS)), 2 ** (62 - LINE_BITS)
-    safe = F.when(F.col("_id") == NULL_ID, F.lit(low - 1)).when((F.col("_id") < low) | (F.col("_id") >= high) | (F.col("line") >= 2**LINE_BITS), F.raise_error(F.lit("an identifier or a document is beyond line positions")).cast("long")).otherwise(F.col("_id"))
-    rows = rows.select("_id", "_h", (F.shiftleft(safe, LINE_BITS) + F.col("line")).alias("pos"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    line = F.when(F.col("line") >= 2**LINE_BITS, F.raise_error(F.lit("a document is beyond line positions")).cast("int")).otherwise(F.col("line"))
+    rows = rows.select("_id", "_h", line.alias("line"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    rows = rows.join(numbered(docs, id_col, text_col), ["_id", "_h"]).select("_id", "_h", (F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("pos"), "a", "b")
     pairs = written(rows, "lines")
     found, length = [], 1
     while True:
@@ -60,8 +73,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines without a word are no lines and are left out. Of a run that occurs again, the first copy in order of
     identifier and line stays. longest_run is the longest power of two of lines, from the run's start on, that
     has stood before; 0 if none. A null text has no lines. Rows equal in identifier and text count as one
-    document and get the same result; null identifiers come first. Identifiers must lie within +-2^38 and
-    documents have fewer than 2^24 lines; others raise an error. No rows give no rows."""
+    document and get the same result; null identifiers come first, and
+    rows that share an identifier come in order of a hash of their texts. Documents must have fewer than 2^24
+    lines; others raise an error. No rows give no rows."""
     if min_lines & (min_lines - 1):
         raise ValueError("min_lines is a power of two")
     runs = repeated_runs(docs, id_col, text_col, min_lines)

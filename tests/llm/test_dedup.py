@@ -254,6 +254,13 @@ def test_lines_equal_brute_force(spark):
         assert got == {(key, text) for (key, _), text in want.items()}
 
 
+def test_lines_of_rows_that_share_an_identifier(spark):
+    for keys in ((None, None, None), (7, 7, 7), (None, None, 2**40)):
+        rows = [(keys[0], "h1\nh2\nx"), (keys[1], "h1\nh2\ny"), (keys[2], "q\nh1\nh2")]
+        got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(r["n_deleted"] for r in got) == [0, 2, 2]
+
+
 def test_a_long_run_is_revealed(spark):
     own = [f"x{i}" for i in range(100)]
     frame = spark.createDataFrame([(1, "\n".join(own)), (2, "\n".join(["new", *own[10:90]]))], "doc_id long, text string")
