@@ -312,12 +312,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: id, class_id, n_shingles.
+    """One row per input row: id, class_id, n_shingles, kept (and the row key).
 
     class_id is the least identifier of the row's class: texts with equal words, and those linked to them
     directly or through others. Texts of fewer than five words are only linked to equal ones; null and empty
     texts are equal. Rows that repeat an identifier are judged one by one; null identifiers count as the
-    least, so a class with one has a null class_id. No rows give no rows."""
+    least, so a class with one has a null class_id. kept is true for one
+    row a class, the least by identifier and text hash, and of equal rows any one. No rows give no rows."""
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("_t"))
     made = written(rows.mapInArrow(_sketch, "_id long, _h long, high long, low long, n int, sketches array<long>"), "sketches")
     nodes = made.groupBy("high", "low").agg(F.min("_id").alias("rep"))
@@ -350,20 +351,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = _cells(rest).join(words.hint("merge"), "node")
     cells = cells.select("cell", "node", "kin", "n", "f", "sketches", "side", "_t").repartition("cell").sortWithinPartitions("cell")
     roots = _joined(roots, written(cells.mapInArrow(_compare(similarity), LINK), "links"))
-    known = member.join(roots, "node", "left").select("_id", "_h", "n", "rep", F.coalesce("root", "node").alias("root"))
+    known = member.join(roots, "node", "left").select("_id", "_h", "n", F.coalesce("root", "node").alias("root")).withColumn("at", F.monotonically_increasing_id())
     known = written(known, "known")
-    least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
+    least = known.groupBy("root").agg(F.min(F.struct("_id", "_h", "at")).alias("first")).select("root", F.col("first._id").alias("class_id"), F.col("first.at").alias("first"))
     out = known.join(written(least, "classes").hint("merge"), "root")
     plain = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    return out.select(plain("_id").alias("id"), plain("class_id").alias("class_id"), F.col("n").cast("long").alias("n_shingles"), "_id", "_h")
+    return out.select(plain("_id").alias("id"), plain("class_id").alias("class_id"), F.col("n").cast("long").alias("n_shingles"), F.expr("at = first").alias("kept"), "_id", "_h")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the rows that have another row of their class with a smaller identifier."""
-    gone = near_classes(docs, id_col, text_col, similarity).filter("not (id <=> class_id)").select("_id", "_h").distinct()
-    return own_columns(join_rows(docs, gone, "left_anti", id_col, text_col), docs)
+    """One row of docs for each class: the least by identifier and text hash, and of equal rows any one."""
+    found = written(near_classes(docs, id_col, text_col, similarity).select("_id", "_h", "kept"), "kept")
+    gone = found.filter("not kept").select("_id", "_h").distinct()
+    twice = found.filter("kept").select("_id", "_h").join(gone, ["_id", "_h"], "left_semi")  # kept once of equal rows
+    some = join_rows(docs, twice, "left_semi", id_col, text_col).dropDuplicates(["_pf_join_id", "_pf_join_h"])
+    return own_columns(join_rows(docs, gone, "left_anti", id_col, text_col), docs).unionByName(own_columns(some, docs))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", "n_shingles", F.expr("id <=> class_id").alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_shingles", "kept")

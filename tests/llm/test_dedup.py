@@ -184,6 +184,15 @@ def test_alignment_is_the_longest_common_subsequence():
         assert abs(near_dedup.aligned(a, b) - ordered_similarity(a.tolist(), b.tolist())) < 1e-12
 
 
+def test_near_copies_that_share_an_identifier_leave_one(spark):
+    base = [f"v{i}" for i in range(120)]
+    texts = [" ".join(base[:50] + [f"own{i % 5}"] + base[50:]) for i in range(8)]
+    rows = [(None, t) for t in texts] + [(7, t.replace("v", "u")) for t in texts] + [(9, "u0 alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"] for r in near_dedup.near_dedup(docs).collect()), key=repr) == [7, 9, None]
+    assert near_dedup.near_classes(docs).filter("kept").count() == 3
+
+
 def common(a, b):
     best = [0] * (len(b) + 1)
     for x in a:
