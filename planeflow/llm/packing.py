@@ -1,35 +1,50 @@
 """Harmonic packing of token streams into sequences of a fixed capacity.
 
-Class k is for pieces of which k fill a sequence. A document is cut into pieces of exactly capacity / 1,
-/ 2, / 4, ... / 64 tokens, largest first; what is left (fewer than capacity / 64 tokens) belongs whole to the
-class k = capacity div length. Every worker fills each class's bins with k pieces each, on its own and
-without looking at other classes. Pieces of bins that a worker could not fill meet the same class's pieces
-of other workers, FAN workers at a time, until one group is left; the rest then is bounded by the classes
-alone (fewer than k pieces each), and one task packs it first-fit by decreasing length.
+Class k holds the lengths in (capacity / (k + 1), capacity / k], and a bin of class k takes k documents; lengths
+of capacity / LAST and less are one class, whose bins take what fits. A document is cut in two cases only: where
+it is longer than the capacity (its full sequences stand alone, its tail is dealt to a class), and as a filler:
+once a bin has its k documents, the next one of that class gives its first tokens for the room left, and its
+rest is dealt to the class of its own length. So every closed bin is full.
+
+Every worker fills its bins on its own. What is left in its open bins (less than a sequence a class) meets that
+of FAN neighbouring workers, round by round, until one group is left, which has FAN times LAST open bins at most;
+there they are laid end to end, and only the last sequence of all is padded.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import texts, written
+from ._shared import spans, texts, written
 from ._words import buffers
 
 CAPACITY = 4096
-SMALLEST = 64
+#: The class of all lengths of capacity / LAST and less.
+LAST = 64
 END_ID = 2
-FAN = 256
-#: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+FAN = 32
+#: Bytes of text whose words are looked up at once; longer texts are encoded block by block.
+CHUNK = 4 << 20
+#: Bytes of words and ids that a worker remembers in one generation; it keeps two.
+CACHE_BYTES = 48 << 20
+#: Bytes of an entry besides its word and ids.
+ENTRY = 180
 VOCABULARY = "word_bpe_49k.json"
+#: Lower-case words of these letters are composed already and one piece; their lower case has one character for each.
+LATIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]+")
+#: Byte-level alphabet: bytes that are not printable as Latin-1 characters follow from U+0100 on, in order.
+_ODD = [*range(33), *range(127, 161), 173]
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_ODD)}
 
-PIECE = "run long, place long, k int, {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = "run long, {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def vocabulary_path() -> str:
@@ -42,57 +57,106 @@ class Encoder:
     """Ids of texts, word by word: the vocabulary never joins characters across white space.
 
     Letters A-Z count as a-z, and a comma or full stop after a letter stands alone, as the vocabulary's
-    own rules have it; so words are remembered without them."""
+    own rules have it; so words are remembered without them. Words are remembered for two generations: when the
+    present one is full it becomes the old one, and a word that is met again moves over. So common words stay, and
+    rare ones are forgotten."""
 
     def __init__(self, path: str):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.bare = tokenizers.Tokenizer.from_file(path)  # for words that need neither normalising nor splitting
+        self.bare.normalizer, self.bare.pre_tokenizer = None, tokenizers.pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
-    def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        if len(known) + 2 * len(words) > CACHE_WORDS:
-            known.clear()
-        split, new = {}, set()
+    def _plain(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words of byte-level letters: each ends in its one piece that ends a word."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)] if len(cut) == len(words) + 1 else None
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, old, fresh, split, new = self.known, self.old, {}, {}, {}
         for w in words:
-            if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or w[-2] > 127 and w[:-1].decode().lower()[-1].isalpha()):
-                split[w] = w[:-1], w[-1:]
-                new.update(split[w])
+            ids = old.get(w)
+            if ids is not None:
+                fresh[w] = ids
+                continue
+            head = w.rstrip(b".,!?;:")
+            if head and len(head) < len(w) and (97 <= head[-1] <= 122 or head[-1] > 127 and head.decode().lower()[-1].isalpha()):
+                split[w] = head, w[len(head) :]
+                new[split[w][1]] = None
+                w = head
+            new[w] = None
+        plain, bare, rest = [], [], []
+        for w in new:
+            if w in fresh or w in known:
+                continue
+            if w.isalpha():
+                plain.append(w)
+                bare.append(w.decode())
+            elif w[:1] > b"@" and LATIN.fullmatch(text := w.decode()):
+                plain.append(w)
+                bare.append(text.lower().encode().decode("latin-1").translate(BYTE_LEVEL))
             else:
-                new.add(w)
-        new = [w for w in new if w not in known]
-        plain = [w for w in new if w.isalpha() or w[0] > 64 and w.decode().lower().isalpha()]
-        rest = set(new)
-        if plain:  # words of letters only end in one piece that ends a word, so they can be encoded together
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cut) == len(plain) + 1:
-                raw = ids.tobytes()
-                known.update((w, raw[a:b]) for w, a, b in zip(plain, cut[:-1], cut[1:], strict=True))
-                rest.difference_update(plain)
-        if rest:
-            rest = list(rest)
-            for w, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-                known[w] = np.array(found.ids, np.uint32).tobytes()
-        for w, (a, b) in split.items():
-            known[w] = known[a] + known[b]
-
-    def ids(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = (text if b"<|" in text else text.lower()).split()
-        missing = set(words).difference(self.known)
+                rest.append(w)
+        found = self._plain(bare) if plain else []
+        if found is None:
+            rest, found = rest + plain, []
+        else:
+            fresh.update(zip(plain, found, strict=True))
+        for w, ids in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            fresh[w] = np.array(ids.ids, np.uint32).tobytes()
+        known.update(fresh)
+        for w, (head, tail) in split.items():
+            fresh[w] = known[w] = known[head] + known[tail]
+        self.size += ENTRY * len(fresh) + sum(map(len, fresh)) + sum(map(len, fresh.values()))
+
+    def _chunk(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lower = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        words = pc.ascii_split_whitespace(lower)
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        known = self.known
+        missing = [w for w in distinct if w not in known]
         if missing:
-            if len(missing) > CACHE_WORDS // 2:
-                return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
             self._learn(missing)
-            if again := set(words).difference(self.known):  # it began anew
-                self._learn(again)
-        return b"".join(map(self.known.__getitem__, words))
+        raw = list(map(known.__getitem__, distinct))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) >> 2
+        ids, code = np.frombuffer(b"".join(raw), np.uint32), coded.indices.to_numpy()
+        each = size[code]
+        at = np.append(0, np.cumsum(each))  # where each word's ids begin
+        shift = (np.cumsum(size) - size)[code] - at[:-1]
+        out = ids[np.arange(at[-1]) + np.repeat(shift, each)]
+        if self.size > CACHE_BYTES:
+            self.known, self.old, self.size = {}, known, 0
+        return out, at[words.offsets.to_numpy() - words.offsets[0].as_py()]
+
+    def ids(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. A text longer than CHUNK is cut at white space into blocks."""
+        out = []
+        for a, b in spans(np.diff(buffers(column)[1]), CHUNK):
+            part = column.slice(a, b - a)
+            if b == a + 1 and (text := part[0].as_buffer().to_pybytes()) and len(text) > CHUNK:
+                blocks, x = [], 0
+                while x < len(text):
+                    y = x + CHUNK
+                    while y < len(text) and text[y] not in b" \t\n\x0b\x0c\r":
+                        y += 1
+                    blocks.append(self._chunk(pa.array([text[x:y].decode()], pa.large_string()))[0])
+                    x = y
+                out.append(np.concatenate(blocks))
+                continue
+            ids, at = self._chunk(part)
+            out += [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -105,46 +169,65 @@ def encoder(path: str) -> Encoder:
     return held[path]
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(length, k) of the pieces of n tokens, in order."""
-    out = [(capacity, 1)] * (n // capacity)
-    rest, size, k = n % capacity, capacity // 2, 2
-    while k <= SMALLEST:
-        if rest >= size:
-            out.append((size, k))
-            rest -= size
-        size, k = size // 2, k * 2
-    if rest:
-        out.append((rest, capacity // rest))
-    return out
-
-
 class Bins:
-    """Open bins, one a class. A row is [run, place, k, id, start, length, crc, doc_tokens]."""
-
-    def __init__(self, first_sequence: int):
-        self.open: dict[int, list] = {}
-        self.next = first_sequence
-
-    def add(self, row: tuple) -> list[tuple]:
-        """The rows of the bin that this one fills, or none."""
-        own = self.open.setdefault(row[2], [])
-        own.append(row)
-        if len(own) < row[2]:
-            return []
-        del self.open[row[2]]
-        return self.close(own)
-
-    def close(self, rows: list[tuple]) -> list[tuple]:
-        out, offset = [], 0
-        for row in rows:
-            out.append((*row, self.next, offset))
-            offset += row[5]
+    """Open bins, one a class. A piece is (id, doc_tokens, raw, base, start, stop): raw has the ids from base on."""
+
+    def __init__(self, capacity: int, run: int, first_sequence: int):
+        self.capacity, self.run, self.next = capacity, run, first_sequence
+        self.open: dict[int, list[tuple]] = {}
+        self.tokens: dict[int, int] = {}
+        self.done: list[tuple] = []
+
+    def _close(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for key, total, raw, base, start, stop in pieces:
+            crc = zlib.crc32(memoryview(raw)[4 * (start - base) : 4 * (stop - base)])
+            self.done.append((self.run, key, start, stop - start, crc, total, self.next, offset, None))
+            offset += stop - start
         self.next += 1
-        return out
+
+    def add(self, key, total: int, raw: bytes, base: int, start: int, stop: int) -> None:
+        c = self.capacity
+        while start < stop:
+            n = stop - start
+            if n >= c:
+                self._close([(key, total, raw, base, start, start + c)])
+                start += c
+                continue
+            k = min(c // n, LAST)
+            own, held = self.open.setdefault(k, []), self.tokens.get(k, 0)
+            take = min(n, c - held)  # less than n for a filler only
+            own.append((key, total, raw[4 * (start - base) : 4 * (start - base + take)], start, start, start + take))
+            start += take
+            self.tokens[k] = held + take
+            if held + take == c:
+                self._close(own)
+                del self.open[k], self.tokens[k]
+
+    def finish(self) -> None:
+        """Lay what is open end to end."""
+        pieces, held = [], 0
+        for own in (self.open[k] for k in sorted(self.open)):
+            for key, total, raw, base, start, stop in own:
+                while start < stop:
+                    take = min(stop - start, self.capacity - held)
+                    pieces.append((key, total, raw, base, start, start + take))
+                    start, held = start + take, held + take
+                    if held == self.capacity:
+                        self._close(pieces)
+                        pieces, held = [], 0
+        if pieces:
+            self._close(pieces)
+        self.open, self.tokens = {}, {}
 
     def rest(self) -> list[tuple]:
-        return [(*row, None, None) for own in self.open.values() for row in own]
+        """The pieces of open bins, with their ids and without a sequence."""
+        return [(self.run, key, start, stop - start, None, total, None, None, raw) for own in self.open.values() for key, total, raw, _, start, stop in own]
+
+
+def _schema(id_type: pa.DataType) -> pa.Schema:
+    long = pa.int64()
+    return pa.schema([("run", long), ("id", id_type), ("start", long), ("length", long), ("ids_crc32", long), ("doc_tokens", long), ("sequence_id", long), ("offset", long), ("ids", pa.binary())])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -152,90 +235,65 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def _schema(id_type: pa.DataType) -> pa.Schema:
-    long = pa.int64()
-    return pa.schema([("run", long), ("place", long), ("k", pa.int32()), ("id", id_type), ("start", long), ("length", long), ("ids_crc32", long), ("doc_tokens", long), ("sequence_id", long), ("offset", long)])
-
-
-def _cut(path: str, capacity: int, end_id: int):
-    def cut(batches):
+def _fill(path: str, capacity: int, end_id: int):
+    def fill(batches):
         from pyspark import TaskContext
 
         run = TaskContext.get().partitionId()
-        bins, place, coder, schema = Bins(run << 32), 0, encoder(path), None
+        bins, coder, schema = Bins(capacity, run, run << 32), encoder(path), None
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             schema = schema or _schema(batch.schema.field(0).type)
-            data, at = buffers(texts(batch.column(1)))
-            raw, at, rows = data.tobytes(), at.tolist(), []
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                ids = coder.ids(raw[at[i] : at[i + 1]]) + end
-                n, start = len(ids) // 4, 0
-                for length, k in cuts(n, capacity):
-                    rows += bins.add((run, place, k, key, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
-                    start, place = start + length, place + 1
-            yield _table(rows, schema)
+            column, keys = texts(batch.column(1)), batch.column(0).to_pylist()
+            for a, b in spans(np.diff(buffers(column)[1]), CHUNK):
+                for key, ids in zip(keys[a:b], coder.ids(column.slice(a, b - a)), strict=True):
+                    raw = ids.tobytes() + end
+                    bins.add(key, len(raw) // 4, raw, 0, 0, len(raw) // 4)
+                yield _table(bins.done, schema)
+                bins.done = []
         if schema:
             yield _table(bins.rest(), schema)
 
-    return cut
+    return fill
 
 
-def _join(level: int):
-    def join(key, table):
-        k, group = key[0].as_py(), key[1].as_py()
-        rows = sorted(zip(*(c.to_pylist() for c in table.columns[:8]), strict=True), key=lambda r: r[:2])
-        bins = Bins(level << 58 | group << 32 | k << 18)
-        out = []
-        for i, row in enumerate(rows):
-            out += bins.add((group, i, *row[2:]))
-        return pa.Table.from_batches([_table(out + bins.rest(), table.schema)])
-
-    return join
-
-
-def _first_fit(capacity: int):
-    def fit(_, table):
-        rows = sorted(zip(*(c.to_pylist() for c in table.columns[:8]), strict=True), key=lambda r: (-r[5], r[2], r[0], r[1]))
-        held: list[list] = []
-        room = np.zeros(0, np.int64)
-        for row in rows:
-            at = np.flatnonzero(room >= row[5])
-            if len(at):
-                held[at[0]].append(row)
-                room[at[0]] -= row[5]
-            else:
-                held.append([row])
-                room = np.append(room, capacity - row[5])
-        bins, out = Bins(31 << 58), []
-        for own in held:
-            out += bins.close(own)
-        return pa.Table.from_batches([_table(out, table.schema)])
+def _meet(level: int, capacity: int, last: bool):
+    def meet(key, table):
+        group = key[0].as_py()
+        bins = Bins(capacity, group, level << 58 | group << 32)
+        columns = (table.column(c).to_pylist() for c in ("run", "length", "id", "start", "doc_tokens", "ids"))
+        for _, n, of, start, total, ids in sorted(zip(*columns, strict=True), key=lambda r: (r[0], -r[1], r[5], r[3])):
+            bins.add(of, total, ids, start, start, start + n)
+        if last:
+            bins.finish()
+        return pa.Table.from_batches([_table(bins.done + bins.rest(), table.schema)])
 
-    return fit
+    return meet
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows with equal or null identifiers are packed one by one,
-    each with its own pieces. Every id lies in one piece; pieces fill a sequence gaplessly from 0. An empty
-    table gives no rows."""
-    if capacity % SMALLEST or capacity & (capacity - 1):
-        raise ValueError(f"capacity is a power of two, {SMALLEST} at least")
+    each with its own pieces. Every id lies in one piece; pieces fill a sequence gaplessly from 0, and all
+    sequences but one are full. An empty table gives no rows. Which document is cut as a filler depends on how
+    the input is partitioned."""
+    if capacity < LAST:
+        raise ValueError(f"capacity is {LAST} at least")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = PIECE.format(id=f"id {rows.schema['id'].dataType.simpleString()}")
-    first = written(rows.mapInArrow(_cut(vocabulary or vocabulary_path(), capacity, end_id), schema), "pieces")
-    done, rest, runs, level = [first.filter("sequence_id is not null")], first.filter("sequence_id is null"), rows.rdd.getNumPartitions(), 0
-    while runs > 1:
-        level, runs = level + 1, -(-runs // FAN)
-        met = written(rest.groupBy("k", F.expr(f"run div {FAN}").alias("group")).applyInArrow(_join(level), schema), "pieces")
+    first = written(rows.mapInArrow(_fill(vocabulary or vocabulary_path(), capacity, end_id), schema), "pieces")
+    done, rest, level, last = [first.filter("sequence_id is not null")], first.filter("sequence_id is null"), 0, False
+    while not last:
+        level, runs = level + 1, (rest.agg(F.max("run")).first()[0] or 0) + 1
+        last = runs <= FAN
+        met = written(rest.groupBy(F.expr(f"run div {FAN}").alias("group")).applyInArrow(_meet(level, capacity, last), schema), "pieces")
         done.append(met.filter("sequence_id is not null"))
         rest = met.filter("sequence_id is null")
-    out = rest.groupBy("run").applyInArrow(_first_fit(capacity), schema)
-    for part in done:
-        out = part.unionByName(out)
-    return out.drop("run", "place", "k")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.drop("run", "ids")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
