@@ -9,12 +9,16 @@ shingles (without labels) within a band: with M aligned of n and m, similarity i
 No bucket's pairs are all emitted. Copies with equal words are one node. Buckets are sorted by range, so a
 large one spans tasks; first a node meets its bucket's first one in a few sketches, which joins a group of any
 size with one pair a member. Then, for all sketches, buckets whose nodes are still in different classes link
-each node to its neighbour in order of length and to the first one. Last, buckets that still hold several
-classes are cut into blocks, and each pair of blocks is one cell: a cell compares all its pairs that share a
-sketch, are in different classes and similar in length. So no two documents that share a sketch are left
-uncompared, unless they are in one class already. Cells grow with the square of a bucket that stays apart, but
-texts are copied once a block, not once a pair. Classes are connected components, found by contracting the
-links in random order.
+each node to its neighbour in order of length and to the first one. Last, the nodes of buckets that still hold
+several classes are joined exactly, by prefix filtering: with each node's labelled shingles in order from rare to
+frequent, two documents of similarity s share one of the first (1 - s) n of the longer and of the first
+(1 - 2 s / (1 + s)) n of the shorter, and it is not so late in either that too few shingles are left. A passage
+that a family has in common comes last in that order, so strangers in the family don't meet; members of one class
+don't either, as for each shingle only what is outside its largest class looks for partners. A class is cut into
+blocks of MEMBERS nodes, and it is blocks that meet: a node that is close to a class of thousands is one row a block,
+not one a member, and is compared with the block's members in place. So no two similar documents that share a
+sketch are left uncompared, unless they are in one class already. Classes are connected components, found by
+contracting the links in random order.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import join_rows, own_columns, row_key, spans, texts, written
@@ -42,8 +46,10 @@ BLOCK = 1 << 16
 
 #: Matches a shingle of both texts, beyond which they are aligned by rows of bits.
 MATCHES = 16
-#: Members of a bucket that are one block; two blocks are one cell.
+#: Nodes of a class that are one block.
 MEMBERS = 64
+#: Nodes that meet a block in one cell, about.
+GUESTS = 256
 
 LINK = "a long, b long"
 
@@ -221,52 +227,100 @@ def _verify(similarity: float):
     return verify
 
 
-def _cells(blocked: DataFrame) -> DataFrame:
-    """(cell, node, kin, n, f, side) of (key, node, kin, n, f): every two members of a key
-    that are in different classes meet in a cell, as sides 0 and 1 or both as side 2.
-
-    A class with MEMBERS members in a bucket has blocks of its own, which don't meet each other; the others share."""
-    sizes = blocked.groupBy("key", "kin").agg(F.count("*").alias("members"))
-    sizes = sizes.withColumn("own", F.when(F.col("members") >= MEMBERS, F.col("kin")).otherwise(-1))
-    kinds = sizes.groupBy("key", "own").agg(F.ceil(F.sum("members") / MEMBERS).cast("int").alias("parts"))
-    kinds = written(kinds, "kinds")
-    x, y = (kinds.select("key", F.col("own").alias(f"own{i}"), F.col("parts").alias(f"parts{i}")) for i in "01")
-    cells = x.join(y.hint("merge"), "key").filter("own0 < own1 or (own0 = -1 and own1 = -1)")
-    for i in "01":
-        cells = cells.withColumn(f"part{i}", F.explode(F.sequence(F.lit(0), F.col(f"parts{i}") - 1)))
-    cells = cells.filter("own0 < own1 or part0 <= part1").withColumn("cell", F.xxhash64("key", "own0", "part0", "own1", "part1"))
-    alone = F.expr("own0 = own1 and part0 = part1")
-    left = cells.select("cell", "key", F.col("own0").alias("own"), F.col("part0").alias("part"), F.when(alone, 2).otherwise(0).alias("side"))
-    right = cells.filter(~alone).select("cell", "key", F.col("own1").alias("own"), F.col("part1").alias("part"), F.lit(1).alias("side"))
-    placed = blocked.join(sizes.select("key", "kin", "own").hint("merge"), ["key", "kin"]).join(kinds.hint("merge"), ["key", "own"])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
-    return placed.join(left.unionByName(right).hint("merge"), ["key", "own", "part"]).select("cell", "node", "kin", "n", "f", "side")
+def _tokens(batches):
+    """(node, n, token) for each labelled shingle of (node, text)."""
+    for batch in batches:
+        col = texts(batch.column(1))
+        for a, b in spans(np.diff(buffers(col)[1]), CHUNK):
+            w = Words(*buffers(col.slice(a, b - a)))
+            grams = windows(w.hashes(), SHINGLE)
+            nodes = batch.column(0).slice(a, b - a).to_numpy()
+            marks = [labelled(grams[w.first[i] : max(w.first[i], w.first[i + 1] - SHINGLE + 1)]) for i in range(b - a)]
+            sizes = np.array([len(m) for m in marks])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(marks).astype(np.int64))], ["node", "n", "token"])
+
+
+def _blocks(kin: DataFrame) -> DataFrame:
+    """(node, kin, block, total) of (node, kin); total is the size of the class."""
+    sizes = kin.groupBy("kin").agg(F.count("*").alias("total"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / MEMBERS))
+    return kin.join(sizes.hint("merge"), "kin").select("node", "kin", F.xxhash64("kin", part).alias("block"), "total")
+
+
+def _meetings(words: DataFrame, blocks: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (guest, host): blocks of different classes with a pair of nodes that can be similar.
+
+    place is a token's place in its node's order from rare to frequent; tokens of one node only come first, and
+    are not listed. Of two blocks that of the larger class is the host."""
+    s, slack = similarity, 1e-9
+    tokens = written(words.mapInArrow(_tokens, "node long, n int, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    from_end = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), F.desc("token")))
+    placed = tokens.join(often.hint("merge"), "token").withColumn("place", F.col("n") - from_end)
+    placed = placed.filter(F.col("place") <= F.col("n") * (1 - s) + slack).drop("df").join(blocks.hint("merge"), "node")
+    n, place, share = F.col("n"), F.col("place"), s / (1 + s)
+    groups = placed.groupBy("token", "kin", "block", "total").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"),
+        F.min(place - n * (1 - 2 * share)).alias("early"),  # at most 0: a node can meet longer ones by this token
+        F.max(n - place - n * share).alias("room"), F.count("*").alias("members"),
+    )
+    groups = written(groups, "prefixes")
+    classes = groups.groupBy("token", "kin").agg(F.sum("members").alias("members"))
+    largest = classes.groupBy("token").agg(F.max(F.struct("members", "kin"))["kin"].alias("most"), F.count("*").alias("classes")).filter("classes > 1")
+    groups = written(groups.join(largest.select("token", "most").hint("merge"), "token"), "mixed-prefixes")
+    side = lambda of: [F.col(c).alias(f"{c}_{of}") for c in ("block", "kin", "total", "low", "high", "early", "room")]
+    x, y = groups.filter("kin <> most").select("token", "most", *side("x")), groups.select("token", *side("y"))
+    both = x.join(y.hint("merge"), "token").filter("kin_x <> kin_y and (kin_y = most or block_x < block_y)")
+    both = both.filter((F.col("high_x") >= s * F.col("low_y") - slack) & (F.col("high_y") >= s * F.col("low_x") - slack))
+    both = both.filter(((F.col("early_x") <= slack) & F.expr("low_x <= high_y")) | ((F.col("early_y") <= slack) & F.expr("low_y <= high_x")))
+    both = both.filter((F.col("room_x") >= share * F.col("low_y") - slack) & (F.col("room_y") >= share * F.col("low_x") - slack))
+    x_hosts = F.expr("total_x > total_y or (total_x = total_y and block_x > block_y)")
+    return both.select(F.when(x_hosts, F.col("block_y")).otherwise(F.col("block_x")).alias("guest"), F.when(x_hosts, F.col("block_x")).otherwise(F.col("block_y")).alias("host")).distinct()
+
+
+def _cells(meetings: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(cell, node, kin, side): a host block's nodes on side 0, about GUESTS nodes that it meets on side 1."""
+    meetings = written(meetings, "meetings")
+    sizes = blocks.groupBy(F.col("block").alias("guest")).agg(F.count("*").alias("size"))
+    parts = meetings.join(sizes.hint("merge"), "guest").groupBy("host").agg(F.ceil(F.sum("size") / GUESTS).alias("parts"))
+    cells = meetings.join(parts.hint("merge"), "host").withColumn("cell", F.xxhash64("host", F.pmod(F.xxhash64("guest"), F.col("parts"))))
+    hosts = cells.select("cell", F.col("host").alias("block"), F.lit(0).alias("side")).distinct()
+    guests = cells.select("cell", F.col("guest").alias("block"), F.lit(1).alias("side"))
+    return hosts.unionByName(guests).join(blocks.select("block", "node", "kin").hint("merge"), "block").select("cell", "node", "kin", "side")
 
 
 def _compare(similarity: float):
-    """Links between the classes of each cell of (cell, node, kin, n, f, sketches, side, text), which come cell by cell."""
+    """Links between the hosts' and the guests' classes of (cell, node, kin, side, text), which come cell by cell."""
+
+    def shingles(text: str) -> np.ndarray:
+        return windows(Words(*buffers(pa.array([text or ""], pa.large_string()))).hashes(), SHINGLE)
 
     def links(rows: list[tuple]) -> list[tuple]:
-        node, kin, n, f, side = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4, 6))
-        found, all_sketches, out = {}, np.array([r[5] for r in rows], np.int64), []
-
-        def shingles(i: int) -> np.ndarray:
-            if i not in found:
-                w = Words(*buffers(pa.array([rows[i][7]], pa.large_string())))
-                found[i] = windows(w.hashes(), SHINGLE)
-            return found[i]
-
-        for i in range(len(rows)):
-            fit = (kin != kin[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9)
-            fit &= side == 1 if side[i] == 0 else (side == 2) & (np.arange(len(rows)) > i) if side[i] == 2 else False
-            at = np.flatnonzero(fit)
-            same = all_sketches[at] == all_sketches[i]
-            for j in at[same[:, f[i]] & ~same[:, : f[i]].any(axis=1)].tolist():  # others meet in an earlier sketch
-                if kin[i] != kin[j] and aligned(shingles(i), shingles(j), similarity) >= similarity - 1e-12:
-                    out.append((int(node[i]), int(node[j])))
-                    kin[kin == kin[j]] = kin[i]
+        hosts, guests = ([r for r in rows if r[3] == side] for side in (0, 1))
+        if not hosts or not guests:
+            return []
+        plain = [shingles(r[4]) for r in hosts]
+        size, kin = np.array([len(x) for x in plain]), np.array([r[2] for r in hosts])
+        marks, owner = np.concatenate([labelled(x) for x in plain]), np.repeat(np.arange(len(hosts)), size)
+        order = np.argsort(marks, kind="stable")
+        marks, owner = marks[order], owner[order]
+        out, met = [], set()
+        for _, node, own, _, text in guests:
+            x = shingles(text)
+            own_marks = labelled(x)
+            low, high = np.searchsorted(marks, own_marks, "left"), np.searchsorted(marks, own_marks, "right")
+            count = high - low
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            overlap = np.bincount(owner[at], minlength=len(hosts))
+            for j in np.flatnonzero((overlap >= similarity / (1 + similarity) * (len(x) + size) - 1e-9) & (kin != own)).tolist():
+                if (own, kin[j]) not in met and aligned(x, plain[j], similarity) >= similarity - 1e-12:
+                    out.append((int(hosts[j][1]), int(node)))
+                    met.add((own, kin[j]))
         return out
 
+    def batch_of(made):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.int64()) for i in range(2)], ["a", "b"])
+
     def compare(batches):
         last, rows, made = None, [], []
         for batch in batches:
@@ -275,10 +329,9 @@ def _compare(similarity: float):
                     made += links(rows)
                     last, rows = row[0], []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.int64()) for i in range(2)], ["a", "b"])
+            yield batch_of(made)
             made = []
-        made = links(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.int64()) for i in range(2)], ["a", "b"])
+        yield batch_of(links(rows))
 
     return compare
 
@@ -346,11 +399,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     roots = components(verified(written(_pairs(keys.filter(f"f < {FIRST}").select("key", "node", "n"), _star), "pairs")))
     roots = _joined(roots, verified(written(_pairs(mixed(roots).select("key", "node", "n", "kin"), _star_and_chain), "pairs")))
-    rest = written(mixed(roots), "rest")
-    words = worded(rest.select("node").distinct()).join(own.select("node", "sketches").hint("merge"), "node")
-    cells = _cells(rest).join(words.hint("merge"), "node")
-    cells = cells.select("cell", "node", "kin", "n", "f", "sketches", "side", "_t").repartition("cell").sortWithinPartitions("cell")
-    roots = _joined(roots, written(cells.mapInArrow(_compare(similarity), LINK), "links"))
+    rest = written(_blocks(written(mixed(roots).select("node", "kin").distinct(), "rest")), "blocks")
+    cells = _cells(_meetings(worded(rest.select("node")), rest, similarity), rest)
+    cells = written(cells, "cells")
+    placed = cells.join(worded(cells.select("node").distinct()).hint("merge"), "node").select("cell", "node", "kin", "side", "_t")
+    roots = _joined(roots, written(placed.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_compare(similarity), LINK), "links"))
     known = member.join(roots, "node", "left").select("_id", "_h", "n", F.coalesce("root", "node").alias("root")).withColumn("at", F.monotonically_increasing_id())
     known = written(known, "known")
     least = known.groupBy("root").agg(F.min(F.struct("_id", "_h", "at")).alias("first")).select("root", F.col("first._id").alias("class_id"), F.col("first.at").alias("first"))

@@ -282,3 +282,43 @@ def test_empty_tables_and_odd_columns(empty, clashing):
     for f in (substring_dedup.substring_dedup, exact_dedup.exact_groups, exact_dedup.exact_dedup, near_dedup.near_classes, near_dedup.near_dedup, line_dedup.line_dedup):
         assert f(empty).count() == 0
         assert f(clashing).count() == 1
+
+
+def test_near_recall_against_brute_force(spark):
+    """Every document at scale 0.01 as a query against all others; measured recall: 1.0 of its links."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    m = {i: marks(t) for i, t in rows}
+    own = {i: set(x) for i, x in m.items()}
+    close = [(i, j) for i in m for j in m if i < j and m[i] and min(len(m[i]), len(m[j])) >= 0.8 * max(len(m[i]), len(m[j])) and len(own[i] & own[j]) >= 0.8 * max(len(m[i]), len(m[j]))]
+    links = [(i, j) for i, j in close if ordered_similarity(m[i], m[j]) >= 0.8]
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) >= 50 and found == len(links), (found, len(links))
+
+
+def test_prefixes_lose_no_pair(spark, monkeypatch):
+    """All pairs of a family of random overlap, each document a class of its own or two classes of many."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(80):
+        own = list(base[: 100 - int(rng.integers(0, 12))])
+        for at in rng.integers(0, len(own), int(rng.integers(0, 4))):
+            own[at] = f"o{i}_{at}"
+        rows.append((i, " ".join([*own, *(f"t{i}_{j}" for j in range(int(rng.integers(0, 10))))])))
+    m = [marks(t) for _, t in rows]
+    words = spark.createDataFrame(rows, "node long, _t string")
+    for classes, members in ((80, 64), (2, 64), (3, 7)):
+        monkeypatch.setattr(near_dedup, "MEMBERS", members)
+        monkeypatch.setattr(near_dedup, "GUESTS", 10)
+        blocks = near_dedup._blocks(spark.createDataFrame([(i, i % classes) for i, _ in rows], "node long, kin long"))
+        cells = collections.defaultdict(lambda: (set(), set()))
+        found = near_dedup._cells(near_dedup._meetings(words, blocks, 0.8), blocks)
+        for r in found.collect():
+            cells[r["cell"]][r["side"]].add(r["node"])
+        got = {(min(a, b), max(a, b)) for hosts, guests in cells.values() for a in hosts for b in guests}
+        want = {(i, j) for i in range(80) for j in range(i + 1, 80) if i % classes != j % classes and ordered_similarity(m[i], m[j]) >= 0.8}
+        assert want <= got and len(want) > 100 and all(len(hosts) <= members * 2 for hosts, _ in cells.values())
+        made = found.join(words, "node").select("cell", "node", "kin", "side", "_t").repartition("cell").sortWithinPartitions("cell", "side")
+        linked = {tuple(sorted((a % classes, b % classes))) for a, b in made.mapInArrow(near_dedup._compare(0.8), near_dedup.LINK).collect()}
+        assert linked == {tuple(sorted((a % classes, b % classes))) for a, b in want}
