@@ -381,14 +381,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = written(own, "own")
     keys = own.select("node", "n", F.posexplode("sketches").alias("f", "s")).withColumn("key", F.xxhash64("f", "s"))
 
-    def worded(wanted: DataFrame) -> DataFrame:
-        where = own.join(wanted, "node", "left_semi").select("node", "_id", "_h")
-        return written(rows.join(where, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "_t"), "texts")
+    # a node that is alone in all its buckets has no partner; what follows reads the others' sketches and texts only
+    shared = keys.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("key")
+    keys = written(keys.join(shared.hint("merge"), "key"), "keys")
+    where = own.join(keys.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "_id", "_h")
+    found = written(rows.join(where, ["_id", "_h"]).dropDuplicates(["node"]).select("node", "_t"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        words = worded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        full = pairs.join(words.select(F.col("node").alias("a"), F.col("_t").alias("x")).hint("merge"), "a")
-        full = full.join(words.select(F.col("node").alias("b"), F.col("_t").alias("y")).hint("merge"), "b")
+        full = pairs.join(found.select(F.col("node").alias("a"), F.col("_t").alias("x")).hint("merge"), "a")
+        full = full.join(found.select(F.col("node").alias("b"), F.col("_t").alias("y")).hint("merge"), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_verify(similarity), LINK)
 
     def mixed(roots: DataFrame) -> DataFrame:
@@ -400,9 +401,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(verified(written(_pairs(keys.filter(f"f < {FIRST}").select("key", "node", "n"), _star), "pairs")))
     roots = _joined(roots, verified(written(_pairs(mixed(roots).select("key", "node", "n", "kin"), _star_and_chain), "pairs")))
     rest = written(_blocks(written(mixed(roots).select("node", "kin").distinct(), "rest")), "blocks")
-    cells = _cells(_meetings(worded(rest.select("node")), rest, similarity), rest)
-    cells = written(cells, "cells")
-    placed = cells.join(worded(cells.select("node").distinct()).hint("merge"), "node").select("cell", "node", "kin", "side", "_t")
+    cells = written(_cells(_meetings(found.join(rest.select("node").hint("merge"), "node", "left_semi"), rest, similarity), rest), "cells")
+    placed = cells.join(found.hint("merge"), "node").select("cell", "node", "kin", "side", "_t")
     roots = _joined(roots, written(placed.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_compare(similarity), LINK), "links"))
     known = member.join(roots, "node", "left").select("_id", "_h", "n", F.coalesce("root", "node").alias("root")).withColumn("at", F.monotonically_increasing_id())
     known = written(known, "known")

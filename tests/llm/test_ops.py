@@ -286,7 +286,7 @@ PLANTED = [
 
 def test_surrogates(spark):
     rows = spark.createDataFrame([*enumerate(PLANTED), (None, "card 9807915762804490"), (5, PLANTED[5])], "doc_id long, text string").repartition(3)
-    got = {r["id"]: r for r in pii.replace_pii(rows).collect()}
+    got = {r["id"]: r for r in pii.replace_pii(rows, key="test").collect()}
     text = lambda i: got[i]["text"]
     a, b = re.findall(r"\S+@\S+", text(0))
     assert a.upper() == b and "anna" not in a and re.fullmatch(r"[a-z]{4}\.[a-z]{4}@[a-z]{4}\.[a-z]{7}\.com", a)
@@ -317,16 +317,57 @@ def luhn(number):
 def test_surrogates_are_distinct(spark):
     values = [("ssn", f"{i:09d}") for i in range(300)] + [("ip", f"10.0.0.{i}") for i in range(200)]
     few = spark.createDataFrame(values, "kind string, value string")
-    got = pii.surrogates(few).collect()
+    got = pii.surrogates(few, "test").collect()
     assert len(got) == 500 and len({(r["kind"], r["surrogate"]) for r in got}) == 500
     assert not {(r["kind"], r["surrogate"]) for r in got} & set(values)
     short = spark.createDataFrame([("card", f"{i:02d}") for i in range(40)], "kind string, value string")
-    clash = pii.surrogates(short).collect()  # 40 of 100 two-digit numbers: most first draws clash
+    clash = pii.surrogates(short, "test").collect()  # 40 of 100 two-digit numbers: most first draws clash
     assert len({r["surrogate"] for r in clash}) == 40 and not {r["surrogate"] for r in clash} & {f"{i:02d}" for i in range(40)}
-    other = {r["value"]: r["surrogate"] for r in pii.surrogates(few, key="another").collect()}
+    other = {r["value"]: r["surrogate"] for r in pii.surrogates(few, "another").collect()}
     assert sum(other[r["value"]] == r["surrogate"] for r in got) < 5
 
 
+def test_drawing_ends_where_a_format_is_full(spark):
+    full = spark.createDataFrame([("card", f"{i:02d}") for i in range(60)] + [("email", f"{c}@y.co") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string")
+    got = pii.surrogates(full, "test").collect()
+    assert len(got) == 86 and len({(r["kind"], r["surrogate"]) for r in got}) == 86 and not {r["surrogate"] for r in got} & {r["value"] for r in got}
+
+
+def test_keyed_is_hmac(spark):
+    import hmac
+
+    for key in ("k", "long " * 30):
+        got = spark.createDataFrame([("a/0/é",), ("",)], "m string").select(pii.keyed(key, pii.F.col("m"))).collect()
+        assert [r[0] for r in got] == [hmac.new(key.encode(), m.encode(), "sha256").hexdigest() for m in ("a/0/é", "")]
+
+
+NAMES = [
+    ("Mrs Anna Maria Schmidt", "Schmidt"), ("Mr McDonald", "Donald"), ("Dr. O'Brien", "Brien"), ("Mr J. Smith", "Smith"), ("Herr von Neumann", "Neumann"), ("Prof. Jean-Pierre de la Cruz", "Cruz"),
+    ("Herr Dr. Weiß", "Wei"), ("Frau Müller-Lüdenscheidt", "denscheidt"), ("Mr J.R. Tolkien", "Tolkien"), ("Dr ABC", "ABC"),
+]
+
+
+def test_names_whole_and_coreferent(spark):
+    rows = [(i, f"seen: {name}, today") for i, (name, _) in enumerate(NAMES)]
+    rows += [(100, "Dr. Smith met Mr. Smith. Mrs Anna Jones and Mrs Jones left; Anna Jones, not Annabel, came back. JONES"), (101, "Ms Jones's dog and Jones")]
+    got = {r["id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="test").collect()}
+    for i, (name, gone) in enumerate(NAMES):
+        assert gone not in got[i] and got[i].startswith("seen: " + name.split(" ")[0]) and got[i].endswith(", today"), got[i]
+    assert " von " in got[4] and " de la " in got[5] and re.search(r"Mr [A-Z]\. [A-Z][a-z]+,", got[3])
+    m = re.fullmatch(r"Dr\. (\w+) met Mr\. (\w+)\. Mrs (\w+) (\w+) and Mrs (\w+) left; (\w+) (\w+), not Annabel, came back\. JONES", got[100])
+    smith, again, anna, jones, mrs, bare, name = m.groups()
+    assert smith == again != jones == mrs == name and anna == bare != "Anna" and jones != "Jones" and smith in got[3]
+    assert got[101] == f"Ms {jones}'s dog and {jones}"
+
+
+@pytest.mark.parametrize("unit", ["a@b.c", ".c", "a@", "a.", "1", "a", "f0", "F", "+1 12 ", "12-", "1.", "1234 ", "DE89 3704 ", "AKIA", "sk-", "Mr ", "Mr A ", "Mr. J. ", "A ", "de ", "A-", "Dr. A'bc B. von "])
+def test_very_long_texts_end(spark, unit):
+    texts = [unit * (1_000_000 // len(unit)), "a@b" + unit * (1_000_000 // len(unit)), "Mr A" + unit * (1_000_000 // len(unit))]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = frame.select(pii.F.size(pii.F.regexp_extract_all("text", pii.F.lit(pii.PATTERN), pii.F.lit(0))).alias("n"), pii.may_have(pii.F.col("text")).alias("may")).collect()
+    assert all(r["may"] or not r["n"] for r in found)
+
+
 def test_no_rows_and_odd_columns(empty, clashing):
     for f in (pii.replace_pii, packing.pack, quality_rules.quality_scores, quality_rules.quality_filter):
         assert f(empty).count() == 0
