@@ -1,7 +1,8 @@
 """Chat formatting into budgeted windows.
 
 Template of a turn: "### Role: text</turn>\\n". In texts and roles, \\ becomes \\b, < becomes \\l and # becomes
-\\h, so neither "###" nor "</turn>" can come from a text, and the escape is undone exactly.
+\\h, and in roles : becomes \\c, so neither "###" nor "</turn>" can come from a text, nor ": " from a role, and the
+escape is undone exactly.
 
 Prefix sums of turn tokens cut a conversation into spans: with STRIDE tokens a cell, turns that lie inside
 one cell form a span, and a turn across a cell's border is a span of its own. So a span has STRIDE tokens
@@ -20,15 +21,19 @@ STRIDE = 512
 HISTORY = 128
 
 
-def escaped(c: Column) -> Column:
-    for plain, code in (("\\", "\\b"), ("<", "\\l"), ("#", "\\h")):
+CODES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
+ROLE_CODES = (*CODES, (":", "\\c"))
+
+
+def escaped(c: Column, codes=CODES) -> Column:
+    for plain, code in codes:
         c = F.replace(c, F.lit(plain), F.lit(code))
     return c
 
 
-def unescaped(c: Column) -> Column:
+def unescaped(c: Column, codes=CODES) -> Column:
     """The reverse, in reverse order: \\b is undone last, so no other code can arise from it."""
-    for plain, code in (("#", "\\h"), ("<", "\\l"), ("\\", "\\b")):
+    for plain, code in reversed(codes):
         c = F.replace(c, F.lit(code), F.lit(plain))
     return c
 
@@ -53,7 +58,7 @@ def placed_turns(turns: DataFrame, stride: int) -> DataFrame:
 
 
 def formatted(role: str, text: str) -> Column:
-    return F.concat(F.lit("### "), escaped(F.col(role)), F.lit(": "), escaped(F.col(text)), F.lit("</turn>\n"))
+    return F.concat(F.lit("### "), escaped(F.col(role), ROLE_CODES), F.lit(": "), escaped(F.col(text)), F.lit("</turn>\n"))
 
 
 def chat_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
@@ -96,7 +101,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     conversation in one task."""
     parts = F.expr("transform(slice(split(text, '</turn>\\n'), n_repeated + 1, size(split(text, '</turn>\\n')) - n_repeated - 1), x -> substring(x, 5))")
     w = windows.withColumn("parts", parts)
-    turns = F.transform("parts", lambda x: F.concat(unescaped(F.substring_index(x, ": ", 1)), F.lit("\n"), unescaped(x.substr(F.length(F.substring_index(x, ": ", 1)) + 3, F.length(x))), F.lit("\n")))
+    turns = F.transform("parts", lambda x: F.concat(unescaped(F.substring_index(x, ": ", 1), ROLE_CODES), F.lit("\n"), unescaped(x.substr(F.length(F.substring_index(x, ": ", 1)) + 3, F.length(x))), F.lit("\n")))
     loss = F.array_join(F.transform("targets", lambda m: unescaped(F.col("text").substr(m["start"].cast("int") + 1, m["length"].cast("int")))), "")
     w = w.select("conv", "span", F.size("parts").alias("n"), F.array_join(turns, "").alias("turns"), loss.alias("loss"), F.length("text").alias("chars"))
     whole = w.groupBy("conv").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("span", "turns", "loss"))).alias("spans"))

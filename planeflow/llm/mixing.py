@@ -5,10 +5,13 @@ document a posterior over domains. Document rates r >= 0 then minimise
 
     sum over domains k of (sum_d r_d n_d p_dk / T - w_k)^2 + RIDGE * sum_d (n_d / T) (r_d - 1)^2
 
-by projected gradient with lazy projection: each round moves every document's unprojected rate along its own
-posterior, by the residuals scaled with the domains' Gram matrix, and the rate is its projection on r >= 0. The
-moves of all rounds add up to one vector of K pulls, so a document's rate is max(0, 1 - posterior . pull): no
-rates are stored between rounds, and the driver sees K sums a round, nothing of a document.
+by projected gradient. At the minimum a document's rate is the projection on r >= its least rate of 1 - posterior .
+pull, where pull is what the domains miss divided by RIDGE; and the rates of a pull that is not there yet give the
+gradient of the dual, a vector of K numbers. So each round projects every document's rate anew, sums what the domains
+have at these rates, and moves the pull along the gradient, scaled with the Gram matrix of the documents that are not
+at their bound (or of all, which can't overshoot, where that does not bring the gradient down). No rates are stored
+between rounds, and the driver sees K * (K + 1) sums a round, nothing of a document. Rounds that end without
+the tolerance raise an error.
 """
 
 from __future__ import annotations
@@ -77,43 +80,61 @@ def posteriors(docs: DataFrame, weights: np.ndarray, prior: np.ndarray, id_col:
     return sums.select("_id", "_h", "n_tokens", *((F.col(f"e_{i}") / total).alias(f"p_{i}") for i in range(k)), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
+def unbounded(pull: np.ndarray) -> Column:
+    """1 - posterior . pull."""
+    return sum((-F.col(f"p_{i}") * float(x) for i, x in enumerate(pull)), F.lit(1.0))
+
+
 def rate_of(pull: np.ndarray) -> Column:
-    """max(0, 1 - posterior . pull)."""
-    return F.greatest(F.lit(0.0), sum((-F.col(f"p_{i}") * float(x) for i, x in enumerate(pull)), F.lit(1.0)))
+    """The projection on rates that are at least `least`."""
+    return F.greatest(F.col("least"), unbounded(pull))
 
 
 def fit_rates(known: DataFrame, targets: list[float], budget: float = 1.0, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
-    """The pull of each domain on the rates, and the shares expected at them."""
+    """The pull of each domain on the rates, and the shares expected at them, out of n_tokens, p_0 ... and least."""
     k = len(targets)
-    n = F.col("n_tokens").cast("double")
-    gram = known.agg(F.sum(n).alias("t"), *(F.sum(n * F.col(f"p_{i}") * F.col(f"p_{j}")).alias(f"g_{i}_{j}") for i in range(k) for j in range(k))).first()
-    total, pull, have = gram["t"] or 0.0, np.zeros(k), np.zeros(k)
+    n, pairs = F.col("n_tokens").cast("double"), [(i, j) for i in range(k) for j in range(k)]
+
+    def sums(pull: np.ndarray, free) -> tuple[float, np.ndarray, np.ndarray]:
+        cells = [F.sum(F.when(free, n * F.col(f"p_{i}") * F.col(f"p_{j}")).otherwise(0.0)).alias(f"g_{i}_{j}") for i, j in pairs]
+        got = known.agg(F.sum(n).alias("t"), *(F.sum(n * rate_of(pull) * F.col(f"p_{i}")).alias(f"a_{i}") for i in range(k)), *cells).first()
+        total = got["t"] or 0.0
+        if not total:
+            return 0.0, np.zeros(k), np.zeros((k, k))
+        return total, np.array([got[f"a_{i}"] for i in range(k)]) / total, np.array([got[f"g_{i}_{j}"] for i, j in pairs]).reshape(k, k) / total
+
+    pull = np.zeros(k)
+    total, have, whole = sums(pull, F.lit(True))
     if not total:
         return pull, have
-    m = np.array([[gram[f"g_{i}_{j}"] for j in range(k)] for i in range(k)]) / total
-    want = np.array(targets) / sum(targets) * budget
+    want, gram, before = np.array(targets) / sum(targets) * budget, whole, np.inf
     for _ in range(ROUNDS):
-        rate = rate_of(pull)
-        sums = known.agg(*(F.sum(n * rate * F.col(f"p_{i}")).alias(f"a_{i}") for i in range(k))).first()
-        have = np.array([sums[f"a_{i}"] for i in range(k)]) / total
-        slope = have - want - ridge * pull
-        if np.abs(slope).max() < TOLERANCE:
-            break
-        pull = pull + np.linalg.solve(m + ridge * np.eye(k), slope)
-    return pull, have
-
-
-def mix_rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", budget: float = 1.0) -> DataFrame:
+        miss = have - want - ridge * pull
+        size = float(np.abs(miss).max())
+        if size < TOLERANCE:
+            return pull, have
+        pull = pull + np.linalg.solve((gram if size < before / 2 else whole) + ridge * np.eye(k), miss)
+        before = size
+        _, have, gram = sums(pull, unbounded(pull) > F.col("least"))
+    raise ArithmeticError(f"the rates have not converged in {ROUNDS} rounds: a domain's gradient is {size}")
+
+
+def mix_rates(
+    docs: DataFrame, domains: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
+    budget: float = 1.0, keep: str | None = None,
+) -> DataFrame:
     """One row per input row: id, n_tokens, posterior (a struct by domain), rate, copies.
 
     domains has the identifier and a column domain; rows whose domain has no target, or is null, are not
     learnt from, and of a repeated identifier the least domain counts. budget times the input's tokens are
-    split by the targets. copies is the rate, rounded up or down by a hash of the row so that its expectation
+    split by the targets. Documents that are more likely than not of the domain keep have a rate of 1 at least, all
+    others of 0. copies is the rate, rounded up or down by a hash of the row so that its expectation
     is the rate. A null or empty text has no tokens, and the prior for a posterior. Rows that repeat an
     identifier and a text get equal results; no rows give no rows."""
     names = list(targets)
     weights, prior = word_weights(docs, domains, names, id_col, text_col)
     known = written(posteriors(docs, weights, prior, id_col, text_col), "posteriors")
+    known = known.withColumn("least", F.when(F.col(f"p_{names.index(keep)}") >= 0.5, 1.0).otherwise(0.0) if keep else F.lit(0.0))
     pull, _ = fit_rates(known, list(targets.values()), budget)
     out = known.withColumn("rate", rate_of(pull))
     draw = F.pmod(F.xxhash64("_id", "_h", "copy"), F.lit(1 << 30)) / float(1 << 30)

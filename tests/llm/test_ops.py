@@ -93,7 +93,7 @@ def test_chat_windows_read_back(spark):
         for t in range(int(rng.integers(1, 30))):
             text = odd[int(rng.integers(0, len(odd)))] if rng.random() < 0.3 else " ".join(["word"] * int(rng.integers(1, 300)))
             rows.append((c, t, "assistant" if t % 2 else "user", text))
-    rows += [(None, 0, None, "no role"), (None, 1, "assistant", "yes"), (99, 0, "user", "twice"), (99, 0, "user", "twice"), (98, None, "assistant", "null turn")]
+    rows += [(97, 0, "a: b", "x: y"), (97, 1, ": \\c\n### </turn>", "odd role"), (97, 2, "\\b::", ""), (None, 0, None, "no role"), (None, 1, "assistant", "yes"), (99, 0, "user", "twice"), (99, 0, "user", "twice"), (98, None, "assistant", "null turn")]
     windows = chat_format.chat_windows(chat(spark, rows))
     got = {r["conv"]: r for r in chat_format.read_back(windows).collect()}
     by = collections.defaultdict(list)
@@ -258,6 +258,22 @@ def test_rates_reach_their_targets(spark):
     assert np.abs(best - out.rate.to_numpy()).max() < 1e-3
 
 
+def test_kept_documents_and_bounds(spark):
+    """Targets that drive rates to both bounds, against the brute force with the same bounds; and ones out of reach of the rounds."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join([f"{'ab'[i % 2]}{j}" for j in rng.integers(0, 40, 30)] + [f"{'ba'[i % 2]}{j}" for j in rng.integers(0, 40, int(rng.integers(0, 25)))])) for i in range(200)]
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(0, 200, 3)], "doc_id long, domain string")
+    frame, targets = spark.createDataFrame(docs, "doc_id long, text string"), {"a": 0.97, "b": 0.03}
+    out = mixing.mix_rates(frame, labels, targets, keep="a").toPandas()
+    p, n = np.array([[r.posterior["a"], r.posterior["b"]] for r in out.itertuples()]), out.n_tokens.to_numpy(float) / out.n_tokens.sum()
+    least = (p[:, 0] >= 0.5).astype(float)
+    want, rate = np.array([0.97, 0.03]), np.ones(len(p))
+    for _ in range(60_000):
+        rate = np.maximum(least, rate - 0.9 * (p @ ((n * rate) @ p - want) + mixing.RIDGE * (rate - 1)))
+    assert np.abs(rate - out.rate.to_numpy()).max() < 1e-3 and (rate == 0).sum() > 20 and (out.copies >= least).all()
+    assert np.abs((n * rate) @ p - want).max() < 0.01
+
+
 def brute_rates(out, targets):
     """The same minimum by plain projected gradient on all rates."""
     p = np.array([[r.posterior[k] for k in targets] for r in out.itertuples()])
