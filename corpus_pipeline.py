@@ -17,10 +17,9 @@ from planeflow.llm.packing import pack
 from planeflow.llm.quality_rules import quality_filter
 
 #: Token shares after mixing, and the tokens wanted against those that came in. Poor documents are the rules'
-#: business, so here the domains are good and toxic, and the toxic ones are thinned out. At this budget a document
-#: that is surely good has a rate of about 1, with few repeats; one that is more likely good than not stays at least once.
+#: business, so here the domains are good and toxic: the toxic ones are thinned out, and good ones repeat to make up.
 TARGETS = {"good": 0.995, "toxic": 0.005}
-BUDGET = 0.9
+BUDGET = 1.0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +35,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, in expectation, and at least once if it is more likely good
-    than not; copies repeat the row.
+    """Each document as often as its rate says, in expectation; copies repeat the row. The fit holds rates of
+    documents that are more likely good than not at 1 or more, so they stay.
 
     Without labelled documents in docs the posteriors are flat, and rates only follow the budget."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rates = mix_rates(docs, quality_domains(labels), TARGETS, budget=BUDGET)
-    rates = rates.withColumn("copies", F.when(F.col("posterior.good") >= 0.5, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")))
+    rates = mix_rates(docs, quality_domains(labels), TARGETS, budget=BUDGET, keep="good")
     rates = rates.select("_id", "_h", "copies").dropDuplicates(["_id", "_h"])
     kept = join_rows(docs, rates.filter("copies > 0").withColumnRenamed("copies", "_pf_copies"), "inner")
     return own_columns(kept.withColumn("_pf_copy", F.explode(F.sequence(F.lit(1), F.col("_pf_copies").cast("int")))), docs)
