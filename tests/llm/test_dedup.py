@@ -240,31 +240,44 @@ def test_components_of_chains_and_stars(spark):
     assert len(set(by.values())) == 2 and len(by) == len(got) == 602
 
 
-def brute_lines(rows, least):
+def brute_lines(rows, least, min_words=None):
+    """{(id, text): (kept text, longest run that also starts elsewhere)}."""
     rows = sorted(set(rows), key=lambda r: (-(2**63) if r[0] is None else r[0]))
     lines = [[x for x in (t or "").split("\n") if WORD.search(x)] for _, t in rows]
-    seen, gone = set(), [set() for _ in rows]
+    seen, gone, starts, longest = set(), [set() for _ in rows], collections.defaultdict(list), [0] * len(rows)
     for k, own in enumerate(lines):
-        for i in range(len(own) - least + 1):
-            g = tuple(own[i : i + least])
-            if g in seen:
-                gone[k] |= set(range(i, i + least))
-            seen.add(g)
-    return {(key, t): "\n".join(x for j, x in enumerate(own) if j not in bad) for (key, t), own, bad in zip(rows, lines, gone, strict=True)}
+        for i in range(len(own)):
+            for n in {least, 1} if min_words else {least}:
+                g = tuple(own[i : i + n])
+                if len(g) < n or n < least and len(split(g[0])) < min_words:
+                    continue
+                if g in seen:
+                    gone[k] |= set(range(i, i + n))
+                seen.add(g)
+            starts[own[i]].append((k, i))
+    for places in starts.values():
+        for a, (k, i) in enumerate(places):
+            for m, j in places[:a]:
+                n = 0
+                while lines[k][i + n : i + n + 1] and lines[k][i + n : i + n + 1] == lines[m][j + n : j + n + 1]:
+                    n += 1
+                longest[k], longest[m] = max(longest[k], n), max(longest[m], n)
+    return {(key, t): ("\n".join(x for j, x in enumerate(own) if j not in bad), n) for (key, t), own, bad, n in zip(rows, lines, gone, longest, strict=True)}
 
 
 def test_lines_equal_brute_force(spark):
     rng = np.random.default_rng(6)
-    rows = [(i, "\n".join(f"line {x}" for x in rng.integers(0, 30, 40))) for i in range(30)] + [(40, None), (41, ""), (42, "\n \n"), (43, "a\na\na\na\na"), (70, None), (50, "a\na\nb\n\nline 3\n"), (-5, "a\na\nq")]
-    for least in (1, 2, 4):
+    rows = [(i, "\n".join(f"line {x}" if x % 2 else f"a line of many words that is long enough alone {x}" for x in rng.integers(0, 30, 40))) for i in range(30)]
+    rows += [(40, None), (41, ""), (42, "\n \n"), (43, "a\na\na\na\na"), (70, None), (50, "a\na\nb\n\nline 3\n"), (-5, "a\na\nq"), (60, rows[3][1]), (61, rows[3][1] + "\nend"), (62, "new\n" + rows[3][1][:200])]
+    for least, words in ((2, None), (2, 10), (1, None), (4, 10)):
         frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        want = brute_lines(rows, least)
-        got = {(r["id"], r["text"]) for r in line_dedup.line_dedup(frame, min_lines=least).collect()}
-        assert got == {(key, text) for (key, _), text in want.items()}
+        want = brute_lines(rows, least, words)
+        got = {(r["id"], r["text"], r["longest_run"]) for r in line_dedup.line_dedup(frame, min_lines=least, min_words=words).collect()}
+        assert got == {(key, text, n) for (key, _), (text, n) in want.items()}
 
 
 def test_lines_of_rows_that_share_an_identifier(spark):
-    for keys in ((None, None, None), (7, 7, 7), (None, None, 2**40)):
+    for keys in ((None, None, None), (7, 7, 7), (None, None, 2**62)):
         rows = [(keys[0], "h1\nh2\nx"), (keys[1], "h1\nh2\ny"), (keys[2], "q\nh1\nh2")]
         got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
         assert sorted(r["n_deleted"] for r in got) == [0, 2, 2]
@@ -274,8 +287,8 @@ def test_a_long_run_is_revealed(spark):
     own = [f"x{i}" for i in range(100)]
     frame = spark.createDataFrame([(1, "\n".join(own)), (2, "\n".join(["new", *own[10:90]]))], "doc_id long, text string")
     got = {r["id"]: r for r in line_dedup.line_dedup(frame).collect()}
-    assert (got[2]["text"], got[2]["n_deleted"], got[2]["longest_run"]) == ("new", 80, 64)
-    assert (got[1]["n_deleted"], got[1]["longest_run"]) == (0, 0)
+    assert (got[2]["text"], got[2]["n_deleted"], got[2]["longest_run"]) == ("new", 80, 80)
+    assert (got[1]["n_deleted"], got[1]["longest_run"]) == (0, 80)
 
 
 def test_empty_tables_and_odd_columns(empty, clashing):
