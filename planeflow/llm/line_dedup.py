@@ -1,21 +1,17 @@
-"""Line dedup: a suffix array of line sequences by distributed prefix doubling, and its longest common prefixes.
-
-A suffix starts at each line with a word. Round k knows the rank of every suffix by its first 2^k lines: how many
-suffixes are smaller, with lines in order of their first place. Round k + 1 sorts the pairs (own rank, rank of
-the suffix 2^k lines on) and adds to a rank what stands before it among suffixes of that rank; so ranks
-are places in the suffix array. A suffix that is alone with its prefix, or has ended, keeps its rank and leaves, so
-rounds hold repeats only and go on until none is left. All sums over the sorted order are by range blocks.
-
-Neighbours in the array have their longest common prefix by the levels at which their ranks agree: the highest one
-gives 2^k lines, and the suffixes 2^k lines on are looked up for the rest, until they differ at once. The suffixes
-of one rank at a level are an interval of common prefixes of 2^k lines or longer; all but the first
-in it are later copies. A repeated run, whatever its length, is covered by the later copies of MIN_LINES lines that
-start inside it, and a single line is a run by itself if it has MIN_WORDS words. Their lines are deleted.
+"""Line dedup: suffixes of line sequences by distributed prefix doubling.
+
+A suffix starts at each line with a word. Its rank after round k is the position of the first suffix that
+shares its first 2^k lines: equal ranks are equal prefixes, so the suffixes of one rank are the interval of
+the suffix array whose common prefix is 2^k lines or longer. Round k + 1 ranks the pairs (own rank, rank of
+the suffix 2^k lines on). A suffix that is alone with its prefix leaves, so later rounds hold repeats only;
+rounds go on until none is left. A suffix with a rank smaller than its own position starts a run of 2^k lines
+that stood before. The runs of MIN_LINES lines cover every maximal repeated run, whatever its length, and
+their lines are deleted in all places but the first; so is a single line that stood before, if it has MIN_WORDS words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import row_key, written
@@ -32,98 +28,47 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def starts_of(blocks: DataFrame) -> DataFrame:
-    """(block, start) of (block, n): what the blocks before hold. There is one row a task."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _h, doc): the distinct rows of docs, numbered from 0 in order of identifier and text hash."""
+    keys = docs.select(*row_key(id_col, text_col)).distinct().repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h")
+    keys = written(keys.withColumn("at", F.monotonically_increasing_id()), "documents")
+    keys = keys.select("_id", "_h", F.shiftright("at", 33).alias("task"), F.col("at").bitwiseAND(2**33 - 1).alias("nth"))
     before, starts = 0, []
-    for block, n in sorted(blocks.collect()):
-        starts.append((block, before))
+    for task, n in sorted(keys.groupBy("task").count().collect()):  # one row a task
+        starts.append((task, before))
         before += n
-    return F.broadcast(blocks.sparkSession.createDataFrame(starts, "block int, start long"))
-
-
-def in_order(df: DataFrame, *order: str) -> DataFrame:
-    """df, written in range blocks of that order; block numbers follow it."""
-    return written(df.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), "ordered")
+    starts = docs.sparkSession.createDataFrame(starts, "task long, start long")
+    return keys.join(F.broadcast(starts), "task").select("_id", "_h", (F.col("start") + F.col("nth")).alias("doc"))
 
 
-def counted_before(df: DataFrame, *order: str) -> DataFrame:
-    """df with `before`: the sum of n over all rows before, in an order without ties."""
-    t = in_order(df, *order)
-    inside = F.sum("n").over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    t = t.join(starts_of(t.groupBy("block").agg(F.sum("n").alias("n"))), "block")
-    return t.withColumn("before", F.col("start") + F.coalesce(inside, F.lit(0))).drop("block", "start")
-
-
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _h, doc): the distinct rows of docs, numbered from 0 in order of identifier and text hash."""
-    keys = docs.select(*row_key(id_col, text_col)).distinct().withColumn("n", F.lit(1))
-    return written(counted_before(keys, "_id", "_h").select("_id", "_h", F.col("before").cast("long").alias("doc")), "documents")
-
-
-def suffix_array(lines: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """Of (pos, rest, a, b), with rest lines from pos to its document's end and a, b the line's hash:
-
-    the suffixes whose first line is repeated, as (pos, rest, levels, rank): levels are the ranks by 1, 2, 4 ...
-    lines while they are shared, rank is the last; and (pos, first) of the copies of min_lines lines and of one, with
-    the first place of both: (pos, first_line, first_run), null where there is none."""
-    distinct = lines.groupBy("a", "b").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
-    ranked = written(counted_before(distinct, "first").withColumnRenamed("before", "rank"), "line-ranks")
-    whole = written(lines.join(ranked.hint("merge"), ["a", "b"]).select("pos", "rest", "rank", "first", "n"), "suffixes")
-    alone = [whole.filter("n = 1").select("pos", "rank")]
-    live = whole.filter("n > 1").select("pos", "rest", F.array("rank").alias("levels"), "rank")
-    firsts = whole.filter("n > 1").select("pos", F.col("first").alias("first_line"))
-    runs, left, length = (firsts.select("pos", F.col("first_line").alias("first_run")) if min_lines == 1 else None), [], 1
-    while not live.isEmpty():
-        ranks = live.select("pos", "rank")
-        for part in alone:
-            ranks = ranks.unionByName(part)
-        ahead = ranks.select((F.col("pos") - length).alias("pos"), F.col("rank").alias("then"))
-        pairs = written(live.join(ahead.hint("merge"), "pos", "left").withColumn("then", F.coalesce("then", F.lit(-1))), "pairs")
-        classes = pairs.groupBy("rank", "then").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-        classes = written(counted_before(classes, "rank", "then"), "classes")
-        start = classes.groupBy("rank").agg(F.min("before").alias("start"))
-        classes = classes.join(start, "rank").select("rank", "then", "n", "first", (F.col("rank") + F.col("before") - F.col("start")).alias("next"))
-        after = written(pairs.join(classes.hint("merge"), ["rank", "then"]), "ranks")
+def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """(_id, _h, line, run, covers): a run of `run` lines (a power of two) starting there has stood before, and
+    `covers` lines go by it."""
+    spark = docs.sparkSession
+    rows = docs.select(*row_key(id_col, text_col), lines_of(F.col(text_col)).alias("lines")).select("_id", "_h", F.posexplode("lines").alias("line", "text"))
+    long = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words if min_words else F.lit(False)
+    line = F.when(F.col("line") >= 2**LINE_BITS, F.raise_error(F.lit("a document is beyond line positions")).cast("int")).otherwise(F.col("line"))
+    rows = rows.select("_id", "_h", line.alias("line"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), long.alias("long"))
+    rows = rows.join(numbered(docs, id_col, text_col), ["_id", "_h"]).select("_id", "_h", (F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("pos"), "a", "b", "long")
+    pairs = written(rows, "lines")
+    found, length = [], 1
+    while True:
+        same = pairs.groupBy("a", "b").agg(F.min("pos").alias("rank"), F.max("pos").alias("last")).filter("rank < last").select("a", "b", "rank")
+        same = written(same, "ranks")
+        live = pairs.join(same, ["a", "b"]).select("_id", "_h", "pos", "rank", "long")
+        live = written(live.dropDuplicates(["pos", "_h"]) if length == 1 else live, "suffixes")
+        if live.isEmpty():
+            break
+        covers = F.lit(min_lines) if length == min_lines else F.when(F.col("long"), 1).otherwise(0) if length == 1 else F.lit(0)
+        later = live.filter("rank < pos").withColumn("covers", covers).filter(F.lit(length >= min_lines) | (F.col("covers") > 0))
+        found.append(later.select("_id", "_h", F.expr(f"pos & {2**LINE_BITS - 1}").cast("int").alias("line"), F.lit(length).alias("run"), "covers"))
+        ahead = live.select("_h", (F.col("pos") - length).alias("pos"), F.col("rank").alias("b"))
+        pairs = written(live.withColumnRenamed("rank", "a").join(ahead, ["pos", "_h"]), "pairs")
         length *= 2
-        stays = "n > 1 and then >= 0"
-        if length == min_lines:
-            runs = after.filter(stays).select("pos", F.col("first").alias("first_run"))
-        left.append(after.filter(f"not ({stays})").select("pos", "rest", "levels", F.col("next").alias("rank")))
-        alone.append(left[-1].select("pos", "rank"))
-        live = after.filter(stays).select("pos", "rest", F.concat("levels", F.array("next")).alias("levels"), F.col("next").alias("rank"))
-    out = live
-    for part in left:
-        out = out.unionByName(part)
-    runs = firsts.select("pos", F.lit(None).cast("long").alias("first_run")).filter("false") if runs is None else runs
-    return written(out, "suffix-array"), firsts.join(runs, "pos", "left")
-
-
-def neighbours(suffixes: DataFrame) -> DataFrame:
-    """(pos, other, common): each suffix with the next one of the array, and their longest common prefix in lines."""
-    row = F.struct("rank", "pos", "rest", "levels")
-    t = in_order(suffixes, "rank", "pos")
-    heads = t.groupBy("block").agg(F.min(row).alias("head"))  # one row a task
-    heads = heads.select((F.lag("block").over(Window.orderBy("block"))).alias("block"), "head").filter("block is not null")
-    t = t.withColumn("following", F.lead(row).over(Window.partitionBy("block").orderBy("rank", "pos")))
-    t = t.join(F.broadcast(heads), "block", "left").withColumn("y", F.coalesce("following", "head")).filter("y is not null")
-    agree = "size(filter(sequence(0, least(size({0}), size({1})) - 1), k -> {0}[k] = {1}[k]))"
-    t = t.withColumn("same", F.expr(agree.format("levels", "y.levels")))
-    t = t.select("pos", F.col("y.pos").alias("other"), "same", F.expr("if(rank = y.rank, rest, if(same = 0, 0L, shiftleft(1L, same - 1)))").alias("common"), F.expr("rank <> y.rank and same > 1").alias("open"))
-    t = written(t.filter("common > 0"), "neighbours")
-    done, work = [t.filter("not open")], t.filter("open")
-    while not work.isEmpty():
-        ranks = suffixes.select("pos", "levels")
-        x = work.join(ranks.select(F.col("pos").alias("at_x"), F.col("levels").alias("x")).hint("merge"), F.expr("pos + common = at_x"), "left")
-        x = x.join(ranks.select(F.col("pos").alias("at_y"), F.col("levels").alias("y")).hint("merge"), F.expr("other + common = at_y"), "left")
-        more = F.expr(f"if(x is null or y is null, 0, {agree.format('x', 'y')})")
-        x = x.withColumn("more", F.least(more, F.col("same") - 1))
-        x = x.select("pos", "other", F.col("more").alias("same"), F.expr("common + if(more = 0, 0L, shiftleft(1L, more - 1))").alias("common"), F.expr("more > 1").alias("open"))
-        x = written(x, "neighbours")
-        done, work = [*done, x.filter("not open")], x.filter("open")
-    out = done[0]
-    for part in done[1:]:
+    out = spark.createDataFrame([], "_id long, _h long, line int, run int, covers int")
+    for part in found:
         out = out.unionByName(part)
-    return out.select("pos", "other", "common")
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
@@ -131,34 +76,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines without a word are no lines and are left out. Of a run that occurs again, the first copy in order of
     identifier and line stays. A run has min_lines lines at least (a power of two), or is one line of min_words
-    words or more (None: there are none). longest_run is the length in lines of the document's longest run that also
-    starts elsewhere, the first copy's too; 0 if no line is repeated. A null text has no lines. Rows equal in
-    identifier and text count as one document and get the same result; null identifiers come first, and
+    words or more (None: there are none). longest_run is the longest power of two of lines, from the run's start on, that
+    has stood before; 0 if none. A null text has no lines. Rows equal in identifier and text count as one
+    document and get the same result; null identifiers come first, and
     rows that share an identifier come in order of a hash of their texts. Documents must have fewer than 2^24
     lines; others raise an error. No rows give no rows."""
     if min_lines & (min_lines - 1):
         raise ValueError("min_lines is a power of two")
-    known = numbered(docs, id_col, text_col)
-    rows = docs.select(*row_key(id_col, text_col), lines_of(F.col(text_col)).alias("lines"))
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) if min_words else F.lit(0)
-    rows = rows.withColumn("size", F.size("lines")).select("_id", "_h", "size", F.posexplode("lines").alias("line", "text"))
-    line = F.when(F.col("line") >= 2**LINE_BITS, F.raise_error(F.lit("a document is beyond line positions")).cast("int")).otherwise(F.col("line"))
-    rows = rows.select("_id", "_h", line.alias("line"), (F.col("size") - F.col("line")).cast("long").alias("rest"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), (words >= (min_words or 1)).alias("long"))
-    rows = rows.join(known, ["_id", "_h"]).select((F.shiftleft("doc", LINE_BITS) + F.col("line")).alias("pos"), "rest", "a", "b", "long")
-    rows = written(rows.dropDuplicates(["pos"]), "lines")
-    suffixes, firsts = suffix_array(rows.drop("long"), min_lines)
-    later = firsts.join(rows.filter("long").select("pos", "long"), "pos", "left")
-    later = later.withColumn("covers", F.expr(f"if(first_run < pos, {min_lines}, if(long and first_line < pos, 1, 0))")).filter("covers > 0")
-    doc, at = F.shiftright("pos", LINE_BITS).alias("doc"), F.expr(f"cast(pos & {2**LINE_BITS - 1} as int)")
-    gone = later.select(doc, F.sequence(at, at + F.col("covers") - 1).alias("spots")).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("gone"))
-    both = neighbours(suffixes)
-    longest = both.select(doc, "common").unionByName(both.select(F.shiftright("other", LINE_BITS).alias("doc"), "common")).groupBy("doc").agg(F.max("common").alias("longest_run"))
-    spots = written(known.join(longest, "doc").join(gone, "doc", "left").drop("doc"), "spots")
+    runs = repeated_runs(docs, id_col, text_col, min_lines, min_words)
+    first = F.when(F.col("covers") > 0, F.sequence(F.col("line"), F.col("line") + F.col("covers") - 1)).otherwise(F.array().cast("array<int>"))
+    spots = runs.groupBy("_id", "_h").agg(F.array_distinct(F.flatten(F.collect_list(first))).alias("gone"), F.max("run").alias("longest_run"))
     rows = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.col(text_col).cast("string").alias("_t"))
     both = rows.join(spots, ["_id", "_h"], "left").withColumn("lines", lines_of(F.col("_t")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))  # hashed, in order
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
-    return both.select("id", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce("longest_run", F.lit(0)).cast("long").alias("longest_run"))
+    return both.select("id", F.array_join(kept, "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,21 +99,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = rf"""
-WITH RECURSIVE l AS (
+WITH l AS (
   SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
-lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
-runs AS (
-  SELECT doc_id, i, 1 AS k, md5(line) AS g, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT *, count(*) OVER (PARTITION BY line) AS c FROM lines) WHERE c > 1
-  UNION ALL
-  SELECT doc_id, i, k + 1, h, 0 FROM (
-    SELECT doc_id, i, k, h, count(*) OVER (PARTITION BY h) AS c
-    FROM (SELECT r.doc_id, r.i, r.k, md5(r.g || n.line) AS h FROM runs r JOIN lines n ON n.doc_id = r.doc_id AND n.i = r.i + r.k)) WHERE c > 1),
+win AS (
+  SELECT doc_id, i, k, array_to_string(list_slice(ls, i, i + k - 1), chr(10)) AS g, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS words
+  FROM l, (SELECT 1::BIGINT << x AS k FROM range(0, 24) AS p(x)) AS s, unnest(range(1, len(ls) - k + 2)) AS r(i) WHERE len(ls) >= k),
 later AS (
-  SELECT doc_id, i, k FROM (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY doc_id, i) AS nth FROM runs WHERE k = {MIN_LINES} OR k = 1 AND words >= {MIN_WORDS}) WHERE nth > 1),
-gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, range(0, {MIN_LINES}) AS s(j) WHERE j < k),
+  SELECT doc_id, i, k FROM (SELECT *, row_number() OVER (PARTITION BY k, md5(g) ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1 AND (k >= {MIN_LINES} OR k = 1 AND words >= {MIN_WORDS})),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM later, range(0, {MIN_LINES}) AS s(j) WHERE j < k AND k <= {MIN_LINES}),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
 kept AS (SELECT lines.doc_id, string_agg(line, chr(10) ORDER BY lines.i) AS t, count(*) AS n FROM lines ANTI JOIN gone ON lines.doc_id = gone.doc_id AND lines.i = gone.i GROUP BY lines.doc_id),
-longest AS (SELECT doc_id, max(k) AS longest_run FROM runs GROUP BY doc_id)
+longest AS (SELECT doc_id, max(k) AS longest_run FROM later GROUP BY doc_id)
 SELECT l.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_deleted,
-  sha256(coalesce(t, '')) AS kept_sha256, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run
+  sha256(coalesce(t, '')) AS kept_sha256, CAST(coalesce(longest_run, 0) AS INTEGER) AS longest_run
 FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id LEFT JOIN longest ON l.doc_id = longest.doc_id
 """

@@ -241,10 +241,10 @@ def test_components_of_chains_and_stars(spark):
 
 
 def brute_lines(rows, least, min_words=None):
-    """{(id, text): (kept text, longest run that also starts elsewhere)}."""
+    """{(id, text): (kept text, longest power of two of lines that stood before)}."""
     rows = sorted(set(rows), key=lambda r: (-(2**63) if r[0] is None else r[0]))
     lines = [[x for x in (t or "").split("\n") if WORD.search(x)] for _, t in rows]
-    seen, gone, starts, longest = set(), [set() for _ in rows], collections.defaultdict(list), [0] * len(rows)
+    seen, before, gone, longest = set(), set(), [set() for _ in rows], [0] * len(rows)
     for k, own in enumerate(lines):
         for i in range(len(own)):
             for n in {least, 1} if min_words else {least}:
@@ -254,14 +254,12 @@ def brute_lines(rows, least, min_words=None):
                 if g in seen:
                     gone[k] |= set(range(i, i + n))
                 seen.add(g)
-            starts[own[i]].append((k, i))
-    for places in starts.values():
-        for a, (k, i) in enumerate(places):
-            for m, j in places[:a]:
-                n = 0
-                while lines[k][i + n : i + n + 1] and lines[k][i + n : i + n + 1] == lines[m][j + n : j + n + 1]:
-                    n += 1
-                longest[k], longest[m] = max(longest[k], n), max(longest[m], n)
+            for n in (2**e for e in range(7)):
+                g = tuple(own[i : i + n])
+                if len(g) == n and (n >= least or n == 1 and min_words and len(split(g[0])) >= min_words):
+                    if g in before:
+                        longest[k] = max(longest[k], n)
+                    before.add(g)
     return {(key, t): ("\n".join(x for j, x in enumerate(own) if j not in bad), n) for (key, t), own, bad, n in zip(rows, lines, gone, longest, strict=True)}
 
 
@@ -287,8 +285,8 @@ def test_a_long_run_is_revealed(spark):
     own = [f"x{i}" for i in range(100)]
     frame = spark.createDataFrame([(1, "\n".join(own)), (2, "\n".join(["new", *own[10:90]]))], "doc_id long, text string")
     got = {r["id"]: r for r in line_dedup.line_dedup(frame).collect()}
-    assert (got[2]["text"], got[2]["n_deleted"], got[2]["longest_run"]) == ("new", 80, 80)
-    assert (got[1]["n_deleted"], got[1]["longest_run"]) == (0, 80)
+    assert (got[2]["text"], got[2]["n_deleted"], got[2]["longest_run"]) == ("new", 80, 64)
+    assert (got[1]["n_deleted"], got[1]["longest_run"]) == (0, 0)
 
 
 def test_empty_tables_and_odd_columns(empty, clashing):
