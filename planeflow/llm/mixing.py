@@ -9,9 +9,8 @@ by projected gradient. At the minimum a document's rate is the projection on r >
 pull, where pull is what the domains miss divided by RIDGE; and the rates of a pull that is not there yet give the
 gradient of the dual, a vector of K numbers. So each round projects every document's rate anew, sums what the domains
 have at these rates, and moves the pull along the gradient, scaled with the Gram matrix of the documents that are not
-at their bound (or of all, which can't overshoot, where that does not bring the gradient down). No rates are stored
-between rounds, and the driver sees K * (K + 1) sums a round, nothing of a document. Rounds that end without
-the tolerance raise an error.
+at their bound; a step that does not bring the gradient down is halved. No rates are stored between rounds, and the
+driver sees K * (K + 1) sums a round, nothing of a document. Rounds that end without the tolerance raise an error.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from ._shared import row_key, written
 TRAIN_ROWS = 20_000
 #: Entries of the hashed word table, the bound on what is broadcast.
 BUCKETS = 32_768
-ROUNDS = 40
+ROUNDS = 100
 TOLERANCE = 1e-7
 #: Weight of staying near rate 1. It bounds rates by 1 + 1 / RIDGE, and misses targets by RIDGE times a pull.
 RIDGE = 1e-3
@@ -104,18 +103,24 @@ def fit_rates(known: DataFrame, targets: list[float], budget: float = 1.0, ridge
         return total, np.array([got[f"a_{i}"] for i in range(k)]) / total, np.array([got[f"g_{i}_{j}"] for i, j in pairs]).reshape(k, k) / total
 
     pull = np.zeros(k)
-    total, have, whole = sums(pull, F.lit(True))
+    total, have, gram = sums(pull, F.col("least") < 1)
     if not total:
         return pull, have
-    want, gram, before = np.array(targets) / sum(targets) * budget, whole, np.inf
+    want = np.array(targets) / sum(targets) * budget
+    miss = have - want
+    step, share = np.linalg.solve(gram + ridge * np.eye(k), miss), 1.0
     for _ in range(ROUNDS):
-        miss = have - want - ridge * pull
-        size = float(np.abs(miss).max())
-        if size < TOLERANCE:
+        if np.abs(miss).max() < TOLERANCE:
             return pull, have
-        pull = pull + np.linalg.solve((gram if size < before / 2 else whole) + ridge * np.eye(k), miss)
-        before = size
-        _, have, gram = sums(pull, unbounded(pull) > F.col("least"))
+        at = pull + share * step
+        _, there, free = sums(at, unbounded(at) > F.col("least"))
+        left = there - want - ridge * at
+        if left @ left < miss @ miss:
+            pull, have, miss, share = at, there, left, 1.0
+            step = np.linalg.solve(free + ridge * np.eye(k), miss)
+        else:
+            share /= 2
+    size = float(np.abs(miss).max())
     raise ArithmeticError(f"the rates have not converged in {ROUNDS} rounds: a domain's gradient is {size}")
 
 

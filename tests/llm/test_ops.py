@@ -249,6 +249,9 @@ def test_rates_reach_their_targets(spark):
     for name, want in targets.items():
         share = sum(r.rate * r.n_tokens * r.posterior[name] for r in out.itertuples()) / total
         assert abs(share - want) < 0.005
+    known = out.assign(least=1.0, **{f"p_{i}": [r.posterior[k] for r in out.itertuples()] for i, k in enumerate("xyz")})[["n_tokens", "least", "p_0", "p_1", "p_2"]]
+    pull, _ = mixing.fit_rates(spark.createDataFrame(known), [0.2, 0.7, 0.1], 0.5)  # out of reach: all rates are at their bound
+    assert (1 - known[["p_0", "p_1", "p_2"]].to_numpy() @ pull > 1).sum() < len(known) and np.isfinite(pull).all()
     for r in out.itertuples():
         if r.id == r.id and r.id is not None and r.id < 300:
             name = "xyz"[0 if r.id % 10 < 7 else 1 if r.id % 10 < 9 else 2]
