@@ -66,8 +66,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.bare = tokenizers.Tokenizer.from_file(path)  # for words that need neither normalising nor splitting
-        self.bare.normalizer, self.bare.pre_tokenizer = None, tokenizers.pre_tokenizers.WhitespaceSplit()
+        self.bare = tokenizers.Tokenizer(self.tokenizer.model)  # for words that need neither normalising nor splitting
+        self.bare.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.size = 0
