@@ -114,7 +114,7 @@ def best_gain(levels: DataFrame, stream: str, within: float = 1.0) -> DataFrame:
     return levels.join(top, stream).filter(F.col("db") >= F.col("top") - within).groupBy(stream).agg(F.max("gain").alias("gain"))
 
 
-def high_pass_energy(values: np.ndarray, hz: float, cut: float = 300.0) -> float:
+def high_pass_energy(values: np.ndarray, hz: float, cut: float = 2000.0) -> float:
     """Energy above a second-order Butterworth high-pass."""
     w = 2 * np.pi * cut / hz
     alpha, c = np.sin(w) / np.sqrt(2), np.cos(w)
@@ -129,11 +129,12 @@ def high_pass_energy(values: np.ndarray, hz: float, cut: float = 300.0) -> float
 
 
 def pick_channel(left: np.ndarray, right: np.ndarray, hz: float) -> str:
-    """mid, unless the channels cancel there: then the louder side."""
+    """mid if the difference of the channels is more than 5 dB below their mean, above 2 kHz; else the louder channel,
+    as a mean would cancel what they don't share. Silence is mid."""
     energy = {n: high_pass_energy(v, hz) for n, v in (("left", left), ("right", right), ("mid", (left + right) / 2), ("side", (left - right) / 2))}
-    if energy["mid"] >= energy["side"]:
+    if energy["mid"] <= 0 or energy["side"] < energy["mid"] * 10**-0.5:
         return "mid"
-    return "left" if energy["left"] >= energy["right"] else "right"
+    return "right" if energy["right"] > energy["left"] else "left"
 
 
 def decode_bytes(data: bytes, form: int) -> np.ndarray:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 from .. import constants as K
 from ..functions.cost import delta_cycles, rle_row_cycles
@@ -184,3 +185,36 @@ def parse(op: int, data: bytes, planes: int) -> tuple[list[RowWrite], int, Stats
             stats.rle_cycles += rle_row_cycles(planes, *counts)
         stats.rle_cycles += K.CYC_RLE_PACKET if count else 0
     return out, at, stats
+
+
+def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and where each text begins (with one more: the end)."""
+    codes = [np.frombuffer((t or "").encode("utf-32-le"), np.uint32) for t in column.to_pylist()]
+    at = np.append(0, np.cumsum([len(c) for c in codes])).astype(np.int64)
+    return (np.concatenate(codes) if codes else np.zeros(0, np.uint32)).astype(np.int64), at
+
+
+def row_runs(codes: np.ndarray, at: np.ndarray, width: int, least: int) -> tuple[np.ndarray, ...]:
+    """(text, row, column, length) of runs of `least` equal symbols or more inside rows of `width` symbols."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = np.arange(len(codes)) - at[text]
+    new = place % width == 0
+    new[1:] |= codes[1:] != codes[:-1]
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(codes)))
+    start, length = start[length >= least], length[length >= least]
+    return text[start], place[start] // width, place[start] % width, length
+
+
+def row_changes(codes: np.ndarray, at: np.ndarray, width: int, least_step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, changed columns, sum of steps of least_step or more) of each row of `width` symbols against the one above."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    place = np.arange(len(codes)) - at[text]
+    rows = -(-np.diff(at) // width)
+    row = (np.cumsum(rows) - rows)[text] + place // width
+    below = place >= width
+    step = np.zeros(len(codes), np.int64)
+    step[below] = np.abs(codes[below] - codes[np.flatnonzero(below) - width])
+    changed = np.bincount(row[~below | (step > 0)], minlength=rows.sum())
+    total = np.bincount(row, np.where(step >= least_step, step, 0), minlength=rows.sum()).astype(np.int64)
+    return np.repeat(np.arange(len(rows)), rows), changed, total

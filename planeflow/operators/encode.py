@@ -64,6 +64,12 @@ class Encoder:
         self.fill_every = 2.0 * K.AUDIO_BUFFER * s.period if s.audio_format else 0.0
         self.fill_cost = float(K.CYC_FILL[s.audio_format])
 
+    def row_colours(self, palettes: list[list[int]]) -> np.ndarray:
+        """Each row's colours in Oklab, by its band."""
+        y = np.arange(K.HEIGHT)
+        band = np.zeros(K.HEIGHT, int) if len(palettes) == 1 else np.clip((y - self.s.y0) // self.s.band_rows, 0, len(palettes) - 1)
+        return np.stack([oklab(from_rgb444(np.array(p))) for p in palettes])[band]
+
     def keep_old(self, ideal: np.ndarray, old: np.ndarray, lab: np.ndarray, threshold: float) -> np.ndarray:
         """The lossy filter: a pixel near enough stays; then a row whose errors add up to too little does."""
         out = ideal.copy()
@@ -94,8 +100,7 @@ class Encoder:
 
     def step(self, n: int, ideal: np.ndarray, palettes: list[list[int]], new_scene: bool, audio: bytes, totals: dict) -> bytes:
         s = self.s
-        band = np.zeros(K.HEIGHT, int) if len(palettes) == 1 else np.clip((np.arange(K.HEIGHT) - s.y0) // s.band_rows, 0, len(palettes) - 1)
-        lab = np.stack([oklab(from_rgb444(np.array(p))) for p in palettes])[band]
+        lab = self.row_colours(palettes)
         due = 2.0 * n * K.CYCLES_PER_VBL
         if not new_scene and self.palette == palettes:
             held = s.min_hold > 1 and n - self.last < s.min_hold
@@ -137,8 +142,8 @@ def encode_stream(index: np.ndarray, scenes: dict[int, list[list[int]]], s: Sett
         body.append(enc.step(n, ideal, palettes, n in scenes, audio[n] if audio else b"", totals))
         raw = np.array(palettes, ">u2").tobytes()
         crcs.append(zlib.crc32(enc.visible.tobytes() + raw))
-        lab = oklab(from_rgb444(np.array(palettes[0])))
-        d = np.sqrt(((lab[enc.visible[s.y0 : s.y1]] - lab[ideal[s.y0 : s.y1]]) ** 2).sum(-1))
+        lab, rows = enc.row_colours(palettes)[s.y0 : s.y1], np.arange(s.y1 - s.y0)[:, None]
+        d = np.sqrt(((lab[rows, enc.visible[s.y0 : s.y1]] - lab[rows, ideal[s.y0 : s.y1]]) ** 2).sum(-1))
         totals["error"] += float(d.mean()) if d.size else 0.0
         totals["bad"] += int((d > K.BAD_PIXEL).sum())
     payload = b"".join(body)

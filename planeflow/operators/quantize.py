@@ -90,49 +90,50 @@ def palette_error(rgb: np.ndarray, count: np.ndarray, entries: np.ndarray) -> fl
     return float((d * count).sum() / max(1, count.sum()))
 
 
-def swap_colors(rgb: np.ndarray, count: np.ndarray, above: np.ndarray, most: int) -> np.ndarray:
-    """The palette above with up to `most` entries replaced, one at a time by what lowers the error most.
-
-    Colours are pooled to RGB444 first. With each colour's distances to its nearest and second nearest entry,
-    the effect of removing any entry and adding any colour comes from two matrix sums. Entry 0 stays."""
-    pooled = pd.Series(count, index=to_rgb444(rgb)).groupby(level=0).sum()
-    colours, w = pooled.index.to_numpy(), pooled.to_numpy(float)
-    lab, out = oklab(from_rgb444(colours)), above.copy()
-    to_all = ((lab[:, None] - lab) ** 2).sum(-1)
-    for _ in range(most):
-        d = ((lab[:, None] - oklab(from_rgb444(out))) ** 2).sum(-1)
-        near = d.argmin(1)
-        first = d[np.arange(len(lab)), near]
-        d[np.arange(len(lab)), near] = np.inf
+def swap_colors(rgb: np.ndarray, count: np.ndarray, palette: np.ndarray, candidate: np.ndarray, most: int) -> np.ndarray:
+    """palette with up to `most` entries replaced by candidate's, one at a time by what lowers the error most.
+
+    The error is the weighted sum of Oklab distances. Colours are pooled by the high nibbles of their channels, each
+    pool at its mean colour. A candidate in place of entry j changes each colour's distance from its nearest entry
+    to the lesser of the candidate's and that of the nearest other entry, so all replacements come from sums by
+    nearest entry. Entry 0 of either palette takes no part."""
+    key = (rgb >> 4) @ np.array([256, 16, 1])
+    kinds, own = np.unique(key, return_inverse=True)
+    w = np.bincount(own, count)
+    mean = np.stack([np.bincount(own, rgb[:, c] * count) / w for c in range(3)], 1)
+    lab, out = oklab(np.floor(mean + 0.5)), palette.copy()
+    offer = _distance(lab, oklab(from_rgb444(candidate[1:])))
+    for _ in range(most if len(out) > 1 and len(candidate) > 1 else 0):
+        d = _distance(lab, oklab(from_rgb444(out)))
+        near, rows = d.argmin(1), np.arange(len(lab))
+        first = d[rows, near]
+        d[rows, near] = np.inf
         second = d.min(1)
-        gain_any = np.minimum(first[:, None], to_all)  # colour x candidate
-        total = (w[:, None] * gain_any).sum(0)
-        best = (float((w * first).sum()) - 1e-12, None)
-        for j in range(1, len(out)):
-            mine = near == j
-            change = total + (w[mine, None] * (np.minimum(second[mine, None], to_all[mine]) - gain_any[mine])).sum(0)
-            c = int(change.argmin())
-            if change[c] < best[0]:
-                best = float(change[c]), (j, int(colours[c]))
-        if best[1] is None:
+        with_any = np.minimum(offer, first[:, None])
+        loss = (np.minimum(offer, second[:, None]) - with_any) * w[:, None]
+        error = np.stack([loss[near == j].sum(0) for j in range(1, len(out))]) + w @ with_any  # entry x candidate
+        j, c = np.unravel_index(error.T.argmin(), error.T.shape)[::-1]
+        if error[j, c] >= w @ first - 1e-9:
             break
-        out[best[1][0]] = best[1][1]
+        out[j + 1] = candidate[c + 1]
     return out
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None] - b) ** 2).sum(-1))
+
+
 def snap(own: np.ndarray, above: np.ndarray, within: float = 0.02) -> np.ndarray:
-    """A band's palette in the order of the band above: entries that are near enough take over one of its
-    entries each, nearest pairs first; the others fill the places left."""
-    d = np.sqrt(((oklab(from_rgb444(own))[:, None] - oklab(from_rgb444(above))) ** 2).sum(-1))
-    out, used, placed = above.copy(), set(), set()
-    for i, j in sorted(np.ndindex(d.shape), key=lambda p: (d[p], p)):
-        if d[i, j] <= within and i not in placed and j not in used:
-            placed.add(i)
-            used.add(j)
-    free = [j for j in range(len(above)) if j not in used and j != 0]
-    for i in (i for i in range(len(own)) if i not in placed and own[i] not in above):
-        if free:
-            out[free.pop(0)] = own[i]
+    """A band's palette with colours of the band above where they are near: each entry in turn, from 1 on, takes the
+    nearest one that no earlier entry took. Entries stay in their places."""
+    out, free = own.copy(), np.ones(len(above), bool)
+    free[0] = False
+    d = _distance(oklab(from_rgb444(own)), oklab(from_rgb444(above)))
+    for c in range(1, len(own)):
+        near = np.where(free, d[c], np.inf)
+        u = int(near.argmin())
+        if near[u] < within:
+            out[c], free[u] = above[u], False
     return out
 
 

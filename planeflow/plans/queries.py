@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import bits, color, cost
-from ..operators import audio, calibrate, decode, prepare, quantize, report, search
+from ..operators import audio, calibrate, decode, delta, prepare, quantize, report, search
 from ..sources import bitstream, disk
 from . import clips
 
@@ -114,7 +115,9 @@ def double_byte(spark, d):
     return spark.range(256).select(F.col("id").alias("v"), bits.double_byte(F.col("id").cast("int")).cast("int").alias("doubled"))
 
 
-@query()
+@query("""WITH tab AS (SELECT list(c ORDER BY v) AS t FROM (SELECT v, list_reduce(range(0, 8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, v::BIGINT) AS c FROM unnest(range(0, 256)) AS u(v))),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents)
+SELECT doc_id, xor(list_reduce(bytes, lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM b, tab""")
 def text_crc(spark, d):
     """CRC-32 of every whole text; chained over two halves it is the same."""
     return table(spark, d, "documents").select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"))
@@ -155,7 +158,17 @@ def _samples(spark, d):
     return table(spark, d, "events").select("user_id", s.cast("long").alias("s"), (F.pmod(F.floor(F.col("value") * 10), F.lit(256)) - 128).cast("int").alias("v"))
 
 
-@query()
+SAMPLES = "smp AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS s, CAST(((floor(value * 10) % 256) + 256) % 256 - 128 AS BIGINT) AS v FROM events)"
+_FIB = f"(list_value({', '.join(map(str, K.FIB_STEPS))}))"
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, f(user_id, s, acc, nibble) AS (
+  SELECT DISTINCT user_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM smp
+  UNION ALL
+  SELECT user_id, s, acc + {_FIB}[k], CAST(k - 1 AS BIGINT) FROM (SELECT user_id, s, acc, list_position(miss, list_min(miss)) AS k FROM (
+    SELECT smp.user_id, smp.s, f.acc, list_transform({_FIB}, lambda x: CASE WHEN f.acc + x < -128 OR f.acc + x > 127 THEN 1000000 ELSE abs(f.acc + x - smp.v) END) AS miss
+    FROM f JOIN smp ON smp.user_id = f.user_id AND smp.s = f.s + 1)))
+SELECT user_id, s, nibble FROM f WHERE s >= 0""")
 def fib4_encode(spark, d):
     return audio.fold_stream(_samples(spark, d), "user_id", "s", "v", audio.fib4_nibbles, "nibble")
 
@@ -253,44 +266,58 @@ def gain_choice(spark, d):
 CHARS = "ch AS (SELECT doc_id, i - 1 AS pos, substr(text, i, 1) AS c FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents))"
 
 
-def _chars(spark, d):
-    """Every whole text as rows of 20 characters."""
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "")).alias("pos", "c")).filter("c <> ''")
-    return t.select("doc_id", F.expr("pos div 20").alias("row"), (F.col("pos") % 20).alias("col"), "c")
+def _texts(spark, d, f, schema: str) -> DataFrame:
+    """f(identifiers, symbols, starts) of whole texts, an Arrow batch at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in f(keys, *delta.symbols(part.column(1)))], [c.split()[0] for c in schema.split(", ")])
+
+    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, schema)
 
 
 @query(f"""WITH {CHARS.replace("substr(text, i, 1)", "cs[i]").replace("SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents", "SELECT doc_id, string_split(text, '') AS cs, unnest(range(1, length(text) + 1)) AS i FROM documents")},
 r AS (SELECT doc_id, pos // 20 AS row, pos % 20 AS col, c, row_number() OVER (PARTITION BY doc_id, pos // 20 ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, pos // 20, c ORDER BY pos) AS g FROM ch)
 SELECT doc_id, row, min(col) AS col, count(*) AS length FROM r GROUP BY doc_id, row, c, g HAVING count(*) >= 3""")
 def rle_runs(spark, d):
-    w = Window.partitionBy("doc_id", "row").orderBy("col")
-    new = _chars(spark, d).withColumn("new", F.coalesce((F.lag("c").over(w) != F.col("c")).cast("int"), F.lit(1)))
-    runs = new.withColumn("g", F.sum("new").over(w)).groupBy("doc_id", "row", "g").agg(F.min("col").cast("long").alias("col"), F.count("*").alias("length"))
-    return runs.filter("length >= 3").select("doc_id", "row", "col", "length")
+    def runs(keys, codes, at):
+        text, row, col, length = delta.row_runs(codes, at, K.ROW_BYTES, 3)
+        return keys[text], row, col, length
+
+    return _texts(spark, d, runs, "doc_id long, row long, col long, length long")
 
 
 _ROWS = "rw AS (SELECT doc_id, pos // 20 AS row, pos % 20 AS col, c, lag(c) OVER (PARTITION BY doc_id, pos % 20 ORDER BY pos) AS old FROM ch), cs AS (SELECT doc_id, row, count(*) FILTER (old IS NULL OR old <> c) AS cols, CAST(coalesce(sum(CASE WHEN old IS NOT NULL AND abs(unicode(c) - unicode(old)) >= 3 THEN abs(unicode(c) - unicode(old)) END), 0) AS BIGINT) AS total FROM rw GROUP BY doc_id, row)"
 _FAST = CHARS.replace("substr(text, i, 1)", "cs[i]").replace("SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents", "SELECT doc_id, string_split(text, '') AS cs, unnest(range(1, length(text) + 1)) AS i FROM documents")
 
 
-def _changes(spark, d):
-    old = F.lag("c").over(Window.partitionBy("doc_id", "col").orderBy("row"))
-    c = _chars(spark, d).withColumn("old", old).withColumn("step", F.abs(F.ascii("c") - F.ascii("old")))
-    return c.groupBy("doc_id", "row").agg(F.count_if(F.col("old").isNull() | (F.col("old") != F.col("c"))).alias("cols"), F.coalesce(F.sum(F.when(F.col("step") >= 3, F.col("step"))), F.lit(0)).cast("long").alias("total"))
-
-
 @query(f"""WITH {_FAST}, {_ROWS}, st AS (SELECT doc_id, count(*) FILTER (cols > 0) AS rows, CAST(sum(cols) AS BIGINT) AS cols, count(*) FILTER (cols = 20) AS full_rows FROM cs GROUP BY doc_id)
 SELECT doc_id, rows, cols, full_rows, CAST((rows - full_rows) * {K.CYC_ROW} + (cols - full_rows * 20) * {K.CYC_COL} + (cols * 3 - full_rows * 60) * {K.CYC_BYTE} + full_rows * {K.CYC_FULL_ROW} + full_rows * 60 * {K.CYC_FULL_BYTE} AS BIGINT) AS cycles FROM st""")
 def delta_stats(spark, d):
-    st = _changes(spark, d).groupBy("doc_id").agg(F.count_if(F.col("cols") > 0).alias("rows"), F.sum("cols").alias("cols"), F.count_if(F.col("cols") == 20).alias("full_rows"))
+    def stats(keys, codes, at):
+        text, cols, _ = delta.row_changes(codes, at, K.ROW_BYTES, 3)
+        some, n = np.unique(text), len(keys)
+        by = [np.bincount(text, x, minlength=n).astype(np.int64)[some] for x in (cols > 0, cols, cols == K.ROW_BYTES)]
+        return keys[some], *by
+
+    st = _texts(spark, d, stats, "doc_id long, rows long, cols long, full_rows long")
     return st.withColumn("cycles", cost.delta_cost(F.lit(3), F.col("rows"), F.col("cols"), F.col("cols") * 3, F.col("full_rows")).cast("long"))
 
 
 @query(f"WITH {_FAST}, {_ROWS} SELECT doc_id, count(*) FILTER (total >= 12) AS kept_rows, CAST(coalesce(sum(total) FILTER (total >= 12), 0) AS BIGINT) AS error FROM cs GROUP BY doc_id")
 def quality_filter(spark, d):
     """The lossy rule on rows: small steps stay as they were, then rows whose steps add up to little."""
-    kept = F.when(F.col("total") >= 12, F.col("total"))
-    return _changes(spark, d).groupBy("doc_id").agg(F.count(kept).alias("kept_rows"), F.coalesce(F.sum(kept), F.lit(0)).alias("error"))
+
+    def kept(keys, codes, at):
+        text, _, total = delta.row_changes(codes, at, K.ROW_BYTES, 3)
+        some, n = np.unique(text), len(keys)
+        by = [np.bincount(text, x, minlength=n).astype(np.int64)[some] for x in (total >= 12, np.where(total >= 12, total, 0))]
+        return keys[some], *by
+
+    return _texts(spark, d, kept, "doc_id long, kept_rows long, error long")
 
 
 @query("""SELECT CAST(l_linenumber AS INT) AS scene, CASE WHEN l_tax <= 0.03 THEN 'good' WHEN l_discount > 0.05 THEN 'colours' WHEN l_suppkey % 3 = l_partkey % 3 THEN 'held' ELSE 'compression' END AS why, count(*) AS n FROM lineitem GROUP BY ALL""")
@@ -318,7 +345,7 @@ t AS (SELECT doc_id, CAST(sum(w) AS BIGINT) AS t FROM w GROUP BY doc_id) SELECT
 def boot_checksum(spark, d):
     """The end-around-carry sum of every whole text's words."""
     t = table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("b")).filter("length(b) > 0")
-    return t.select("doc_id", disk.end_around(disk.word_sum(F.col("b"))).alias("checksum"))
+    return disk.word_sums(t).select(F.col("key").alias("doc_id"), disk.end_around(F.col("total")).alias("checksum"))
 
 
 @query("""WITH s AS (SELECT source, doc_id, CAST(ceil(strlen(text) / 512.0) AS BIGINT) AS sectors FROM documents)
@@ -475,12 +502,13 @@ def kmeans_palette(spark, d):
 
 @query()
 def palette_swap(spark, d):
-    """The second palette of each scene differs from the first in four entries at most."""
+    """The palette of the darker half of each scene's colours, with four entries at most swapped for the whole scene's."""
 
     def swap(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["r", "g", "b"])
         rgb, n = part[["r", "g", "b"]].to_numpy(int), part["n"].to_numpy()
         first = quantize.kmeans(rgb[: len(rgb) // 2], n[: len(rgb) // 2], 8)
-        out = quantize.swap_colors(rgb, n, first, 4)
+        out = quantize.swap_colors(rgb, n, first, quantize.kmeans(rgb, n, 8), 4)
         return pd.DataFrame({"scene": part["scene"].iloc[0], "i": np.arange(len(out)), "old": first, "new": out})
 
     return color_histogram(spark, d).groupBy("scene").applyInPandas(swap, "scene int, i int, old int, new int")

@@ -123,8 +123,9 @@ def packets(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(stream_id, content) of every file under path."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream_id"), "content")
+    """(stream_id, content) of every file under path; the path without a side-car.s .crc is the key, so a stream and its
+    side-car share it."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", r"\.crc$", "").alias("stream_id"), "content")
 
 
 def read_sidecar(files: DataFrame) -> DataFrame:

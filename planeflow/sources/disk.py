@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,15 @@ def end_around_sum(data: bytes) -> int:
     return (total - 1) % MASK + 1 if total else 0
 
 
-def word_sum(data: Column) -> Column:
-    """The plain sum of a binary column's big-endian 32-bit words, the last one padded with zeros."""
-    words = F.ceil(F.length(data) / 4).cast("int")
-    value = lambda i: F.conv(F.rpad(F.hex(F.substring(data, i * 4 + 1, F.lit(4))), 8, "0"), 16, 10).cast("long")
-    each = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(each, F.lit(0).cast("long"), lambda s, i: s + value(i))
+def word_sums(data: DataFrame) -> DataFrame:
+    """(key, total) of (key, binary): the plain sum of the big-endian 32-bit words, the last one padded with zeros."""
+
+    def sums(batches):
+        for batch in batches:
+            total = [None if x is None else int(np.frombuffer(x + b"\0" * (-len(x) % 4), ">u4").sum(dtype=np.uint64)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64())], ["key", "total"])
+
+    return data.mapInArrow(sums, f"key {data.dtypes[0][1]}, total long")
 
 
 def end_around(total: Column) -> Column:

@@ -30,7 +30,7 @@ def test_end_around_sum(spark):
             total += int.from_bytes(data[i : i + 4], "big")
             total = (total & 0xFFFFFFFF) + (total >> 32)
         assert disk.end_around_sum(data) == total
-        got = spark.createDataFrame([(data,)], "b binary").select(disk.end_around(disk.word_sum(F.col("b"))).alias("x")).first()["x"]
+        got = disk.word_sums(spark.createDataFrame([(1, data)], "k int, b binary")).select(disk.end_around(F.col("total")).alias("x")).first()["x"]
         assert got == total
 
 
@@ -86,6 +86,7 @@ def test_channel_choice():
     t = np.arange(4000) / 8000
     tone = np.sin(2 * np.pi * 1000 * t)
     assert audio.pick_channel(tone, tone, 8000) == "mid"
+    assert audio.pick_channel(tone, 0.5 * tone, 8000) == "mid" and audio.pick_channel(tone, 0.1 * tone, 8000) == "left"
     assert audio.pick_channel(tone, -0.5 * tone, 8000) == "left"
     assert audio.pick_channel(0.5 * tone, -tone, 8000) == "right"
 
@@ -125,16 +126,33 @@ def test_palettes():
     other = quantize.kmeans(rgb[:30], n[:30], 16)
     pooled = quantize.from_rgb444(quantize.to_rgb444(rgb))
     before = quantize.palette_error(pooled, n, other)
-    swapped = quantize.swap_colors(rgb, n, other, 4)
+    swapped = quantize.swap_colors(rgb, n, other, a, 4)
     assert quantize.palette_error(pooled, n, swapped) < before
+    assert set(swapped.tolist()) <= set(other.tolist()) | set(a.tolist())
     assert (swapped != other).sum() <= 4 and swapped[0] == other[0]
     assert len(quantize.kmeans(rgb[:1], n[:1], 16)) == 2
 
 
-def test_snap_keeps_near_colours_in_place():
+def test_a_swap_is_the_best_of_all():
+    rng = np.random.default_rng(9)
+    rgb, n = np.unique(rng.integers(0, 16, (300, 3)), axis=0) * 16, None
+    n = rng.integers(1, 50, len(rgb))
+    palette, offer = rng.permutation(4096)[:6], rng.permutation(4096)[:9]
+    lab = quantize.oklab(rgb)  # one colour a pool
+
+    def error(p):
+        return float((np.sqrt(((lab[:, None] - quantize.oklab(quantize.from_rgb444(p))) ** 2).sum(-1)).min(1) * n).sum())
+
+    best = min((error(np.append(np.delete(palette, j), c)) for j in range(1, 6) for c in offer[1:]), default=0)
+    got = quantize.swap_colors(rgb, n, palette, offer, 1)
+    assert abs(error(got) - min(best, error(palette))) < 1e-6 and (got != palette).sum() <= 1
+
+
+def test_snap_takes_near_colours_in_turn():
     above = np.array([0, 0xF00, 0x0F0, 0x00F])
-    own = np.array([0, 0x00F, 0xF00, 0xFFF])
-    assert quantize.snap(own, above).tolist() == [0, 0xF00, 0xFFF, 0x00F]
+    assert quantize.snap(np.array([0, 0x00E, 0xE00, 0xFFF]), above, 0.2).tolist() == [0, 0x00F, 0xF00, 0xFFF]
+    assert quantize.snap(np.array([0, 0x00E, 0x00F, 0xFFF]), above, 0.1).tolist() == [0, 0x00F, 0x00F, 0xFFF]  # taken: it stays itself
+    assert quantize.snap(np.array([0, 0x00E]), above, 0).tolist() == [0, 0x00E]
 
 
 def test_hysteresis():
