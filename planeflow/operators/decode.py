@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +111,31 @@ def verify(files: DataFrame, sidecars: DataFrame, packets: DataFrame) -> DataFra
     return status(frame_crcs(rows, palettes_at(packets, headers)), sidecars)
 
 
+def verify_audio(sidecars: DataFrame, audio: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row per stream with audio: stream_id, n, got, want, status; the side-car's entry behind the frames."""
+    places = headers.filter("audio_format <> 0").select("stream_id", F.col("packets").cast("int").alias("n"))
+    return status(places.join(audio.select("stream_id", F.col("crc").alias("got")), "stream_id"), sidecars)
+
+
+def colour_counts(rows: DataFrame, palettes: DataFrame, headers: DataFrame) -> DataFrame:
+    """(stream_id, n, colour, pixels): what is on the screen, by RGB444 colour."""
+
+    def count(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            for key, n, y, index, palette, colors, y0, band_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = np.frombuffer(palette, ">u2").reshape(-1, colors)
+                band = min(max(0, (y - y0) // band_rows), len(table) - 1) if band_rows else 0
+                colour, pixels = np.unique(table[band][np.frombuffer(index, np.uint8)], return_counts=True)
+                for column, x in zip(out, ([key] * len(colour), [n] * len(colour), colour.tolist(), pixels.tolist()), strict=True):
+                    column += x
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["stream_id", "n", "colour", "pixels"])
+
+    known = rows.join(palettes, ["stream_id", "n"]).join(headers.select("stream_id", "colors", "y0", "band_rows"), "stream_id")
+    each = known.select("stream_id", "n", "y", "index", "palette", "colors", "y0", "band_rows").mapInArrow(count, "stream_id string, n int, colour int, pixels long")
+    return each.groupBy("stream_id", "n", "colour").agg(F.sum("pixels").alias("pixels"))
+
+
 def decode_frame_model(content: bytes) -> list[int]:
     """Frame CRCs by plain sequential decoding of whole frames: the tests' second opinion."""
     from ..sources.bitstream import HEADER, walk

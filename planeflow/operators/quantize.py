@@ -102,9 +102,9 @@ def swap_colors(rgb: np.ndarray, count: np.ndarray, palette: np.ndarray, candida
     w = np.bincount(own, count)
     mean = np.stack([np.bincount(own, rgb[:, c] * count) / w for c in range(3)], 1)
     lab, out = oklab(np.floor(mean + 0.5)), palette.copy()
-    offer = _distance(lab, oklab(from_rgb444(candidate[1:])))
+    offer = distance(lab[:, None], oklab(from_rgb444(candidate[1:])))
     for _ in range(most if len(out) > 1 and len(candidate) > 1 else 0):
-        d = _distance(lab, oklab(from_rgb444(out)))
+        d = distance(lab[:, None], oklab(from_rgb444(out)))
         near, rows = d.argmin(1), np.arange(len(lab))
         first = d[rows, near]
         d[rows, near] = np.inf
@@ -119,8 +119,9 @@ def swap_colors(rgb: np.ndarray, count: np.ndarray, palette: np.ndarray, candida
     return out
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None] - b) ** 2).sum(-1))
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Oklab distances of colours that broadcast."""
+    return np.sqrt(((a - b) ** 2).sum(-1))
 
 
 def snap(own: np.ndarray, above: np.ndarray, within: float = 0.02) -> np.ndarray:
@@ -128,7 +129,7 @@ def snap(own: np.ndarray, above: np.ndarray, within: float = 0.02) -> np.ndarray
     nearest one that no earlier entry took. Entries stay in their places."""
     out, free = own.copy(), np.ones(len(above), bool)
     free[0] = False
-    d = _distance(oklab(from_rgb444(own)), oklab(from_rgb444(above)))
+    d = distance(oklab(from_rgb444(own))[:, None], oklab(from_rgb444(above)))
     for c in range(1, len(own)):
         near = np.where(free, d[c], np.inf)
         u = int(near.argmin())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.encode import Settings, encode_stream
-from ..operators.quantize import palette_error
+from ..operators.quantize import from_rgb444
 
 FRAMES = 12
 FILES = "stream_id string, content binary, sidecar binary, deltas long, repeats long, bytes long, worst_late long, error double"
@@ -57,5 +57,18 @@ def trial(part: pd.DataFrame, config: dict) -> dict:
     return {"ok": True, "fits": t["bytes"] < 60_000, "worst_late": int(t["worst_late"]), "raised": t["degraded"] > 0, "bad": float(round(100 * t["bad"] / index.size, 6))}
 
 
-def hist_error(rgb: np.ndarray, n: np.ndarray, entries: np.ndarray) -> float:
-    return palette_error(rgb, n, entries)
+#: Colours of raw frames, by value.
+COLOURS = (0x000, 0xF00, 0x0F0, 0x00F, 0xFF0, 0x0FF, 0xF0F, 0xFFF)
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip_id, frame, y, rgb): raw frames out of the events, in blocks of eight pixels; every fourth frame is
+    the one before again."""
+    at = pixels(spark, sf_dir).groupBy("stream_id", "frame", "y", F.expr("x div 8").alias("block")).agg(F.max("v").alias("v"))
+    shown = at.filter("frame % 4 <> 3").withColumn("frame", F.explode(F.expr("if(frame % 4 = 2, array(frame, frame + 1), array(frame))")))
+    grid = at.select("stream_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(K.HEIGHT - 1))))
+    rows = shown.groupBy("stream_id", "frame", "y").agg(F.map_from_entries(F.collect_list(F.struct("block", "v"))).alias("blocks"))
+    table = F.array(*(F.lit(bytes(from_rgb444(np.array(c)).astype(np.uint8)) * 8) for c in COLOURS))
+    block = lambda b: F.get(table, F.coalesce(F.try_element_at("blocks", b), F.lit(0)))
+    rgb = F.concat(*(block(F.lit(b).cast("long")) for b in range(K.WIDTH // 8)))
+    return grid.join(rows, ["stream_id", "frame", "y"], "left").select(F.col("stream_id").alias("clip_id"), "frame", "y", rgb.alias("rgb"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import bits, color, cost
-from ..operators import audio, calibrate, decode, delta, prepare, quantize, report, search
+from ..operators import audio, calibrate, convert, decode, delta, prepare, quantize, report, search
+from ..operators.encode import Settings
 from ..sources import bitstream, disk
 from . import clips
 
@@ -481,6 +482,22 @@ def stream_verify(spark, d):
     return decode.verify(files, sides, bitstream.packets(files)).select("stream_id", "n", "status")
 
 
+@query(f"""WITH px AS (SELECT event_type AS clip, CAST(event_id % {clips.FRAMES} AS INT) AS f, ((CAST(floor(value) AS BIGINT) % 128) + 128) % 128 AS y, (user_id * 7 % 160) // 8 AS b, max(user_id % 7 + 1) AS v FROM events GROUP BY ALL),
+shown AS (SELECT clip, f, v FROM px WHERE f % 4 <> 3 UNION ALL SELECT clip, f + 1, v FROM px WHERE f % 4 = 2),
+lit AS (SELECT clip, f, v, 8 * count(*) AS pixels FROM shown GROUP BY ALL),
+frames AS (SELECT DISTINCT event_type AS clip, CAST(n AS INT) AS f FROM events, unnest(range(0, {clips.FRAMES})) AS r(n)),
+dark AS (SELECT clip, f, 0 AS v, 20480 - coalesce((SELECT sum(pixels) FROM lit WHERE lit.clip = frames.clip AND lit.f = frames.f), 0) AS pixels FROM frames)
+SELECT clip AS stream_id, f AS n, CAST((list_value({', '.join(map(str, clips.COLOURS))}))[v + 1] AS INT) AS colour, CAST(pixels AS BIGINT) AS pixels
+FROM (SELECT * FROM lit UNION ALL SELECT * FROM dark) WHERE pixels > 0""")
+def source_to_disk(spark, d):
+    """Raw frames to a disk image, and back: the colours on the screen when the stream on the disk is decoded."""
+    made = convert.convert_clips(clips.raw_rows(spark, d), convert.Recipe(Settings(rle=True)))
+    files = disk.stream_on_disk(made.select(F.col("clip_id").alias("disk_id"), F.col("image").alias("content"))).withColumnRenamed("disk_id", "stream_id")
+    packets, headers = bitstream.packets(files), bitstream.parse_headers(files)
+    rows = decode.fold_rows(decode.row_writes(packets, headers))
+    return decode.colour_counts(rows, decode.palettes_at(packets, headers), headers)
+
+
 @query()
 def stream_parts(spark, d):
     """Bytes by part of the encoded clips."""

@@ -71,6 +71,11 @@ def assemble(boot: bytes, player: bytes, data: bytes, reserve_tail: int = 0) ->
     return bytes(image)
 
 
+def room(player: bytes, reserve_tail: int = 0) -> int:
+    """Bytes of data that fit on a disk behind a player."""
+    return (K.SECTORS - reserve_tail - K.PLAYER_SECTOR - -(-len(player) // K.SECTOR)) * K.SECTOR
+
+
 def stream_on_disk(disks: DataFrame) -> DataFrame:
     """(disk_id, content) to the bitstream that the player's header points at."""
     at = K.PLAYER_SECTOR * K.SECTOR
