@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,12 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset: one in the warehouse, which executors
+    share, or for a single local process a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/planeflow-tables"
         if not hasattr(spark, "_planeflow_dir"):
             spark._planeflow_dir = f"file://{tempfile.mkdtemp(prefix='planeflow-')}"
         named = spark._planeflow_dir

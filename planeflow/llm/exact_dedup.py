@@ -69,20 +69,39 @@ def _run_table(run: int, part: int, rows: list) -> pa.RecordBatch:
 
 
 def _first_runs(ranges: int, keep_largest: bool):
+    """Each task's own run: sorted as arrays, so a row costs its digest and three numbers."""
+
     def runs(batches):
         from pyspark import TaskContext
 
-        run = TaskContext.get().partitionId()
-        rows = []
+        run, ids, null, words, size = TaskContext.get().partitionId(), [], [], [], []
+        worst = np.iinfo(np.int64).min if keep_largest else np.iinfo(np.int64).max
         for batch in batches:
-            for key, digest, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows.append((int.from_bytes(digest[:8], "big", signed=True), digest, n, key, 1))
-        rows.sort(key=lambda r: r[:2])
-        by_range: dict[int, list] = {}
-        for row in _merge(rows, keep_largest):
-            by_range.setdefault((row[0] + 2**63) * ranges >> 64, []).append(row)
-        for part, own in by_range.items():
-            yield _run_table(run, part, own)
+            words.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").reshape(-1, 4).astype(np.uint64))
+            ids.append(batch.column(0).fill_null(worst).to_numpy())
+            null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
+            size.append(batch.column(2).to_numpy())
+        if not words or not sum(map(len, ids)):
+            return
+        word, key, none, n = np.concatenate(words), np.concatenate(ids), np.concatenate(null), np.concatenate(size)
+        order = np.lexsort(word.T[::-1])
+        word, key, none, n = word[order], key[order], none[order], n[order]
+        first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]).any(1)))
+        least, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+        if (least != most).any():
+            raise ValueError("two texts of different lengths share a SHA-256 digest")
+        best = (np.maximum if keep_largest else np.minimum).reduceat(key, first)
+        unknown = np.logical_and.reduceat(none, first)
+        copies = np.diff(np.append(first, len(key)))
+        short = word[first, 0]
+        part = np.array([int(x) * ranges >> 64 for x in short.tolist()], np.int32)
+        digests = word[first].astype(">u8").tobytes()
+        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)]
+        signed = (short ^ np.uint64(1 << 63)).view(np.int64)
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = pa.array([digests[32 * i : 32 * i + 32] for i in range(a, b)], pa.binary())
+            columns = [pa.array(np.full(b - a, run, np.int64)), pa.array(part[a:b]), pa.array(signed[a:b]), own, pa.array(least[a:b]), pa.array(best[a:b], mask=unknown[a:b]), pa.array(copies[a:b])]
+            yield pa.RecordBatch.from_arrays(columns, ["run", "range", "short", "digest", "n_bytes", "id", "copies"])
 
     return runs
 

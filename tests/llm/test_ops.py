@@ -79,6 +79,16 @@ def test_scores_ignore_all_but_the_text(spark):
     assert len(got) == 4 and got[0] == got[1] and got[2] == got[3]
 
 
+def test_classifier_without_rows_and_with_clashing_columns(spark, empty, clashing):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality_classifier.train(empty, none)
+    assert quality_classifier.quality_scored(empty, model).count() == 0
+    some = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    twice = clashing.unionByName(clashing)
+    got = quality_classifier.quality_scored(twice, quality_classifier.train(twice, some)).collect()
+    assert len(got) == 2 and got[0]["score"] == got[1]["score"]
+
+
 def chat(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
