@@ -174,7 +174,23 @@ def fib4_encode(spark, d):
     return audio.fold_stream(_samples(spark, d), "user_id", "s", "v", audio.fib4_nibbles, "nibble")
 
 
-@query()
+def _moved(pred: str, step: str, n: str) -> str:
+    """SQL of the predictor after a nibble."""
+    move = f"(({step} >> 3) + ({n} >> 2 & 1) * {step} + ({n} >> 1 & 1) * ({step} >> 1) + ({n} & 1) * ({step} >> 2))"
+    return f"greatest(-32768, least(32767, {pred} + CASE WHEN {n} >= 8 THEN -{move} ELSE {move} END))"
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, nx AS (SELECT user_id, s, v * 256 AS v, lead(v * 256) OVER (PARTITION BY user_id ORDER BY s) AS v2 FROM smp), f(user_id, s, pred, idx, nibble) AS (
+  SELECT DISTINCT user_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM smp
+  UNION ALL
+  SELECT user_id, s, p1, i1, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c, n) AS k FROM (
+    SELECT user_id, s, n, p1, i1, (p1 - v) * (p1 - v) + coalesce(min((p2 - v2) * (p2 - v2)), 0) AS c FROM (
+      SELECT *, {_moved('p1', f'{_STEP}[i1 + 1]', 'm')} AS p2 FROM (
+        SELECT f.user_id, nx.s, nx.v, nx.v2, n, {_moved('f.pred', f'{_STEP}[f.idx + 1]', 'n')} AS p1,
+               greatest(0, least(88, f.idx + (list_value(-1, -1, -1, -1, 2, 4, 6, 8))[(n & 7) + 1])) AS i1
+        FROM f JOIN nx ON nx.user_id = f.user_id AND nx.s = f.s + 1, unnest(range(0, 16)) AS a(n)), unnest(range(0, 16)) AS b(m))
+    GROUP BY user_id, s, n, p1, i1, v)) WHERE k = 1)
+SELECT user_id, s, nibble FROM f WHERE s >= 0""")
 def adpcm_encode(spark, d):
     return audio.fold_stream(_samples(spark, d).withColumn("v", F.col("v") * 256), "user_id", "s", "v", audio.adpcm_nibbles, "nibble")
 
