@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,14 +76,39 @@ def adpcm_nibbles(samples: np.ndarray) -> np.ndarray:
 
 
 def fold_stream(frame: DataFrame, stream: str, order: str, value: str, f, out: str) -> DataFrame:
-    """f over each stream's ordered values, one number out for each in."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        return pd.DataFrame({stream: part[stream], order: part[order], out: np.asarray(f(part[value].to_numpy()), np.int64)})
-
+    """f over each stream's ordered values, one number out for each in. Streams come one behind the other, so short
+    ones cost no group of their own, and a task holds the values of one stream at a time."""
     kinds = dict(frame.dtypes)
-    return frame.groupBy(stream).applyInPandas(run, f"{stream} {kinds[stream]}, {order} {kinds[order]}, {out} long")
+    names = [stream, order, out]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # rows of the stream that the last batch ended in
+
+        def made(part: pa.Table) -> pa.RecordBatch:
+            numbers = np.asarray(f(part.column(2).to_numpy()), np.int64)
+            whole = part.combine_chunks()
+            return pa.RecordBatch.from_arrays([*(whole.column(i).combine_chunks() for i in (0, 1)), pa.array(numbers)], names)
+
+        for batch in batches:
+            keys = batch.column(0)
+            if not len(keys):
+                continue
+            if held and held[-1].column(0)[-1] != keys[0]:
+                yield made(pa.Table.from_batches(held))
+                held = []
+            same = pc.equal(keys[1:], keys[:-1])
+            same = pc.or_(pc.fill_null(same, False), pc.and_(keys[1:].is_null(), keys[:-1].is_null()))
+            cut = [0, *(np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1).tolist(), len(keys)]
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                held.append(batch.slice(x, y - x))
+                if y < len(keys):
+                    yield made(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    rows = frame.select(stream, order, value).repartition(stream).sortWithinPartitions(stream, order)
+    return rows.mapInArrow(run, f"{stream} {kinds[stream]}, {order} {kinds[order]}, {out} long")
 
 
 def resample(frame: DataFrame, stream: str, step: float) -> DataFrame:

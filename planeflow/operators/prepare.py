@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.color import FROM_LAB, TO_LAB, TO_LMS  # noqa: F401
 
 
 def frame_differences(rows: DataFrame, clip: str = "clip_id") -> DataFrame:
