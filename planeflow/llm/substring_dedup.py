@@ -7,7 +7,9 @@ all windows of all strings are sorted and counted exactly: equal hashes are conf
 
 Skew. Frequent seeds come last, so a common line or passage isn't a minimiser of the windows that only
 touch it. Equal packed strings of a chunk become one, marked as repeated: the chunk itself answers all its
-copies, so a passage that is everywhere costs a bucket one string a chunk, not one an occurrence.
+copies, so a passage that is everywhere costs a bucket one string a chunk, not one an occurrence. Buckets
+are measured before anything travels; windows of one that is over-full go by a second minimiser, of another
+order, too. Both depend on the window's words alone, so equal windows still meet.
 """
 
 from __future__ import annotations
@@ -31,9 +33,13 @@ CHUNK = 2 << 20
 FLUSH = 24 << 20
 BUCKET_WORDS = 250_000
 LEAST_BUCKETS = 512
+#: A bucket of more packed words is over-full; at most 1 / LEAST_SHARE buckets can be, whatever the input.
+SPLIT_WORDS = 2_000_000
+LEAST_SHARE = 1e-6
 
 FLAGS = "id long, h long, start int, n int"
 HOT = U(1 << 63)
+SECOND = U(0x9FB21C651E98DF25)
 
 
 def _seed_counts(batches):
@@ -51,7 +57,7 @@ def _seed_counts(batches):
 def frequent_seeds(docs: DataFrame) -> tuple[list[int], int]:
     """Seeds of a share of FREQUENT or more, and the corpus' number of words.
 
-    A seed that has this share of the corpus has it in some chunk, so no frequent one is missed. The list
+    Counts below a chunk's threshold are not added, so a seed close to the share may be left out. The list
     has at most 1 / FREQUENT entries whatever the input. It only moves work between buckets: results don't
     depend on it."""
     counts = docs.mapInArrow(_seed_counts, "seed long, n long, words long").groupBy("seed").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
@@ -61,11 +67,82 @@ def frequent_seeds(docs: DataFrame) -> tuple[list[int], int]:
     return sorted(r[0] for r in rows), int(words)
 
 
+class _Minimisers:
+    """Which windows of a chunk travel together, and to which bucket."""
+
+    def __init__(self, hot: list[int], full: list[int], window: int, buckets: int):
+        self.hot, self.full = np.sort(np.array(hot, np.int64).astype(U)), np.sort(np.array(full, np.int64))
+        self.window, self.buckets = window, buckets
+
+    def _least(self, seeds: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The least of each window's seeds by this order; frequent ones come last."""
+        order = order >> U(1)
+        if len(self.hot):
+            order[_among(seeds, self.hot)] |= HOT
+        return slide_min(order, self.window - SEED + 1)
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key + U(1)) % U(self.buckets)).astype(np.int64)
+
+    def runs(self, w: Words):
+        """(own, start, count, key) of each run of windows with one key, start being its first word; None without windows."""
+        n = len(w) - self.window + 1
+        if n <= 0:
+            return None
+        own = w.text_of()
+        valid = np.flatnonzero(own[:n] == own[self.window - 1 :])
+        if not len(valid):
+            return None
+        seeds = windows(w.hashes(), SEED)
+        key = self._least(seeds, mix(seeds))[valid]
+        if len(self.full):
+            over = _among(self.bucket(key), self.full)
+            if over.any():
+                second = self._least(seeds, mix(seeds ^ SECOND))[valid[over]]
+                key[over] = mix(key[over] ^ mix(second))
+        new = np.ones(len(valid), bool)
+        new[1:] = (valid[1:] != valid[:-1] + 1) | (key[1:] != key[:-1])
+        begin = np.flatnonzero(new)
+        start = valid[begin]
+        return own[start], start, np.diff(np.append(begin, len(valid))), key[begin]
+
+
+def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array that isn't empty."""
+    return ranked[np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)] == values
+
+
+def _bucket_words(hot: list[int], window: int, buckets: int):
+    def count(batches):
+        m = _Minimisers(hot, [], window, buckets)
+        for batch in batches:
+            col = texts(batch.column(0))
+            for a, b in spans(np.diff(buffers(col)[1]), CHUNK):
+                runs = m.runs(Words(*buffers(col.slice(a, b - a))))
+                if runs is not None:
+                    _, _, n, key = runs
+                    own, at = np.unique(m.bucket(key), return_inverse=True)
+                    words = np.bincount(at, n + window - 1, len(own)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words)], ["bucket", "words"])
+
+    return count
+
+
+def full_buckets(docs: DataFrame, hot: list[int], window: int, buckets: int) -> list[int]:
+    """Buckets that would get more than SPLIT_WORDS packed words, or LEAST_SHARE of all if that is more, so the list is bounded.
+
+    As the list of frequent seeds it only moves work: results don't depend on it."""
+    counts = docs.mapInArrow(_bucket_words(hot, window, buckets), "bucket long, words long").groupBy("bucket").agg(F.sum("words").alias("words"))
+    limit = F.greatest(F.lit(float(SPLIT_WORDS)), F.col("total") * LEAST_SHARE)
+    total = counts.agg(F.sum("words").alias("total"))  # one row
+    return sorted(r[0] for r in counts.join(F.broadcast(total), F.col("words") > limit).select("bucket").collect())
+
+
 class _Packer:
     """Gathers super-k-mers; drain() gives a blob for each bucket and answers for strings that repeat here."""
 
-    def __init__(self, hot: np.ndarray, window: int, buckets: int):
-        self.hot, self.window, self.buckets = hot, window, buckets
+    def __init__(self, minimisers: _Minimisers):
+        self.minimisers, self.window, self.buckets = minimisers, minimisers.window, minimisers.buckets
         self.clear()
 
     def clear(self):
@@ -77,29 +154,14 @@ class _Packer:
 
     def add(self, ids, hs, column: pa.Array) -> None:
         w = Words(*buffers(column))
-        n = len(w) - self.window + 1
-        if n <= 0:
+        runs = self.minimisers.runs(w)
+        if runs is None:
             return
-        own = w.text_of()
-        valid = np.flatnonzero(own[:n] == own[self.window - 1 :])
-        if not len(valid):
-            return
-        seeds = windows(w.hashes(), SEED)
-        order = mix(seeds) >> U(1)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, seeds), len(self.hot) - 1)
-            order[self.hot[at] == seeds] |= HOT
-        key = slide_min(order, self.window - SEED + 1)[valid]
-        new = np.ones(len(valid), bool)
-        new[1:] = (valid[1:] != valid[:-1] + 1) | (key[1:] != key[:-1])
-        begin = np.flatnonzero(new)
-        count = np.diff(np.append(begin, len(valid)))
-        start = valid[begin]
+        row, start, count, key = runs
         data, at = w.joined()
         raw = data.tobytes()
         lo, hi = at[start].tolist(), (at[start + count + self.window - 1] - 1).tolist()
-        row = own[start]
-        for k, a, b, i, s, c in zip(key[begin].tolist(), lo, hi, row.tolist(), (start - w.first[row]).tolist(), count.tolist(), strict=True):
+        for k, a, b, i, s, c in zip(key.tolist(), lo, hi, row.tolist(), (start - w.first[row]).tolist(), count.tolist(), strict=True):
             packed = raw[a:b]
             at_first = self.strings.setdefault(packed, len(self.first))
             if at_first == len(self.first):
@@ -111,8 +173,7 @@ class _Packer:
 
     def drain(self):
         if self.first:
-            keys = mix(np.fromiter((x[0] for x in self.first), U, len(self.first)) + U(1))
-            bucket = (keys % U(self.buckets)).astype(np.int64)
+            bucket = self.minimisers.bucket(np.fromiter((x[0] for x in self.first), U, len(self.first)))
             strings = list(self.strings)
             again = np.zeros(len(strings), bool)
             again[list(self.again)] = True
@@ -147,9 +208,9 @@ def _flag_rows(flags: np.ndarray, buckets: int):
         yield _rows([-1 - int((part[0, 0] * 31 + part[0, 2] + i) % buckets)], [part.T.tobytes()])
 
 
-def _pack(hot: list[int], window: int, buckets: int):
+def _pack(hot: list[int], full: list[int], window: int, buckets: int):
     def pack(batches):
-        p = _Packer(np.sort(np.array(hot, np.int64).astype(U)), window, buckets)
+        p = _Packer(_Minimisers(hot, full, window, buckets))
         for batch in batches:
             ids, hs, col = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))
             for a, b in spans(np.diff(buffers(col)[1]), CHUNK):
@@ -253,7 +314,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("_t"))
     hot, words = frequent_seeds(rows.select("_t"))
     buckets = max(LEAST_BUCKETS, words // BUCKET_WORDS)
-    packed = rows.mapInArrow(_pack(hot, window, buckets), "bucket long, blob binary")
+    full = full_buckets(rows.select("_t"), hot, window, buckets)
+    packed = rows.mapInArrow(_pack(hot, full, window, buckets), "bucket long, blob binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), FLAGS)
 
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 from bisect import bisect_left
 
@@ -7,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from planeflow.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
-from planeflow.llm._words import Words, buffers, long_windows, slide_min, windows
+from planeflow.llm._words import Words, buffers, long_windows, mix, slide_min, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,6 +71,38 @@ def test_frequent_seeds_only_move_work(docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "frequent_seeds", lambda d: ([], 10**6))
     monkeypatch.setattr(substring_dedup, "FLUSH", 1)
     assert sorted(map(repr, substring_dedup.substring_dedup(docs).collect())) == want
+    monkeypatch.setattr(substring_dedup, "SPLIT_WORDS", 0)  # every bucket is over-full
+    assert sorted(map(repr, substring_dedup.substring_dedup(docs).collect())) == want
+
+
+def test_substrings_split_over_full_buckets(spark, monkeypatch):
+    """A seed that many different windows hold: its bucket is found, split, and the rest stays where it is."""
+    rng = random.Random(11)
+
+    def order(seed):
+        data = " ".join(seed).encode()
+        return int(mix(windows(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes(), 4))[0])
+
+    seed = min(([f"s{rng.randrange(10**6)}" for _ in range(4)] for _ in range(4000)), key=order)  # a minimiser nearly always
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(31)] + seed + [f"w{rng.randrange(10**6)}" for _ in range(31)]) for _ in range(400)]
+    texts += texts[:20]
+    data = [t.encode() for t in texts]
+    at = np.cumsum([0] + [len(t) for t in data])
+    words = substring_dedup.Words(np.frombuffer(b"".join(data), np.uint8), at)
+    monkeypatch.setattr(substring_dedup, "SPLIT_WORDS", 1500)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    full = substring_dedup.full_buckets(df.select("text"), [], 35, 512)
+
+    def sizes(full):
+        m = substring_dedup._Minimisers([], full, 35, 512)
+        _, _, n, key = m.runs(words)
+        return np.bincount(m.bucket(key), n + 34, 512)
+
+    before, after = sizes([]), sizes(full)
+    assert full == np.flatnonzero(before > 1500).tolist() and len(full) >= 1
+    assert after.max() < before.max() / 2
+    got = {r.id: r.n_removed for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == {i: 66 if i < 20 or i >= 400 else 0 for i in range(420)}
 
 
 def lower(text):
