@@ -33,9 +33,10 @@ CHUNK = 2 << 20
 FLUSH = 24 << 20
 BUCKET_WORDS = 250_000
 LEAST_BUCKETS = 512
-#: A bucket of more packed words is over-full; at most 1 / LEAST_SHARE buckets can be, whatever the input.
+#: A bucket of more packed words than this, or this share of the corpus' words if that is more, is over-full. A word is
+#: packed WINDOW times at most (three times, mostly), so at most WINDOW / LEAST_SHARE buckets can be, whatever the input.
 SPLIT_WORDS = 2_000_000
-LEAST_SHARE = 1e-6
+LEAST_SHARE = 4e-6
 
 FLAGS = "id long, h long, start int, n int"
 HOT = U(1 << 63)
@@ -128,14 +129,12 @@ def _bucket_words(hot: list[int], window: int, buckets: int):
     return count
 
 
-def full_buckets(docs: DataFrame, hot: list[int], window: int, buckets: int) -> list[int]:
-    """Buckets that would get more than SPLIT_WORDS packed words, or LEAST_SHARE of all if that is more, so the list is bounded.
+def full_buckets(docs: DataFrame, hot: list[int], words: int, window: int, buckets: int) -> list[int]:
+    """Buckets that would get more than SPLIT_WORDS packed words, or than LEAST_SHARE of the corpus' words if that is more.
 
     As the list of frequent seeds it only moves work: results don't depend on it."""
     counts = docs.mapInArrow(_bucket_words(hot, window, buckets), "bucket long, words long").groupBy("bucket").agg(F.sum("words").alias("words"))
-    limit = F.greatest(F.lit(float(SPLIT_WORDS)), F.col("total") * LEAST_SHARE)
-    total = counts.agg(F.sum("words").alias("total"))  # one row
-    return sorted(r[0] for r in counts.join(F.broadcast(total), F.col("words") > limit).select("bucket").collect())
+    return sorted(r[0] for r in counts.filter(F.col("words") > max(SPLIT_WORDS, int(words * LEAST_SHARE))).select("bucket").collect())
 
 
 class _Packer:
@@ -314,7 +313,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("_t"))
     hot, words = frequent_seeds(rows.select("_t"))
     buckets = max(LEAST_BUCKETS, words // BUCKET_WORDS)
-    full = full_buckets(rows.select("_t"), hot, window, buckets)
+    full = full_buckets(rows.select("_t"), hot, words, window, buckets)
     packed = rows.mapInArrow(_pack(hot, full, window, buckets), "bucket long, blob binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), FLAGS)
 

@@ -68,7 +68,7 @@ def test_substrings_equal_brute_force(docs):
 
 def test_frequent_seeds_only_move_work(docs, monkeypatch):
     want = sorted(map(repr, substring_dedup.substring_dedup(docs).collect()))
-    monkeypatch.setattr(substring_dedup, "frequent_seeds", lambda d: ([], 10**6))
+    monkeypatch.setattr(substring_dedup, "frequent_seeds", lambda d: ([], 10**5))
     monkeypatch.setattr(substring_dedup, "FLUSH", 1)
     assert sorted(map(repr, substring_dedup.substring_dedup(docs).collect())) == want
     monkeypatch.setattr(substring_dedup, "SPLIT_WORDS", 0)  # every bucket is over-full
@@ -91,7 +91,7 @@ def test_substrings_split_over_full_buckets(spark, monkeypatch):
     words = substring_dedup.Words(np.frombuffer(b"".join(data), np.uint8), at)
     monkeypatch.setattr(substring_dedup, "SPLIT_WORDS", 1500)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    full = substring_dedup.full_buckets(df.select("text"), [], 35, 512)
+    full = substring_dedup.full_buckets(df.select("text"), [], len(words), 35, 512)
 
     def sizes(full):
         m = substring_dedup._Minimisers([], full, 35, 512)
