@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
+#: A logical pixel's width by its height.
+PIXEL_ASPECT = 16 / 15
+
 
 def delta_cost(planes: Column, rows: Column, cols: Column, n_bytes: Column, full_rows: Column, rle_rows: Column | None = None, rle_cycles: Column | None = None) -> Column:
     """Cycles to decode a delta from its statistics; sparse, full and RLE rows have their own prices."""
@@ -65,12 +68,26 @@ def stamp_cck(vbl: Column, line: Column, cck: Column) -> Column:
     return (vbl * K.LINES_PER_VBL + line) * K.CCK_PER_LINE + cck
 
 
-def letterbox(width: Column, height: Column, size: Column) -> Column:
-    """Logical columns and rows of a picture of width x height square pixels on 16:15 pixels, rows even.
-
-    The picture fills the width at size 100; rows beyond the screen shrink both."""
-    cols = F.floor(K.WIDTH * size / 100)
-    rows = cols * height * 16 / (width * 15)
-    fit = F.least(F.lit(1.0), K.HEIGHT / rows)
-    even = (F.floor(rows * fit / 2 + 0.5) * 2).cast("int")
-    return F.struct(F.floor(cols * fit).cast("int").alias("cols"), even.alias("rows"), F.floor((K.HEIGHT - even) / 2).cast("int").alias("y0"))
+def _even(x: Column) -> Column:
+    """Rounded to a whole number, and that down to an even one."""
+    return (F.floor(F.floor(x + 0.5) / 2) * 2).cast("int")
+
+
+def picture(width: Column, height: Column, size: Column | None = None, aspect: Column | None = None) -> Column:
+    """Where a source of width x height square pixels goes: cols, rows, x0, y0, and the scale of its area.
+
+    aspect is letterbox (the whole picture), crop (the whole screen, so x0 or y0 may be negative) or stretch. size is
+    the percentage that the picture takes up; a crop can't be smaller, so there the struct is null."""
+    size, aspect = F.lit(100) if size is None else size, F.lit("letterbox") if aspect is None else aspect
+    ratio = width / height
+    across, down = _even(K.WIDTH * PIXEL_ASPECT / ratio), _even(K.HEIGHT * ratio / PIXEL_ASPECT)
+    by_height = F.when(aspect == "letterbox", across > K.HEIGHT).when(aspect == "crop", across < K.HEIGHT)
+    stretch = aspect == "stretch"
+    cols = F.when(stretch, K.WIDTH).when(by_height, down).otherwise(K.WIDTH)
+    rows = F.when(stretch, K.HEIGHT).when(by_height, K.HEIGHT).otherwise(across)
+    small = size < 100
+    cols, rows = (F.when(small, _even(x * size / 100.0)).otherwise(x) for x in (cols, rows))
+    middle = lambda whole, x: ((whole - x) / 2).cast("int")
+    scale = F.when((aspect != "crop") & (cols < K.WIDTH), K.WIDTH / cols).otherwise(1.0)
+    box = F.struct(cols.alias("cols"), rows.alias("rows"), middle(K.WIDTH, cols).alias("x0"), middle(K.HEIGHT, rows).alias("y0"), scale.alias("scale"))
+    return F.when(~((aspect == "crop") & small), box)

@@ -198,6 +198,26 @@ def stream_audio(packets: DataFrame, headers: DataFrame) -> DataFrame:
     return found.groupBy("stream_id").applyInPandas(whole, "stream_id string, samples binary, n long").withColumn("crc", F.crc32("samples"))
 
 
+def fills(audio: DataFrame, size: int = K.AUDIO_BUFFER) -> DataFrame:
+    """(stream_id, fill, samples): what each interrupt's buffer holds of a stream's audio; in the last one the last
+    sample sounds on. A stream without samples has no fills."""
+    number = F.explode(F.sequence(F.lit(0), F.ceil(F.length("samples") / size).cast("int") - 1))
+    each = audio.filter(F.length("samples") > 0).select("stream_id", "samples", number.alias("fill"))
+    part = F.substring(F.col("samples"), F.col("fill") * size + 1, F.lit(size))
+    return each.select("stream_id", "fill", F.rpad(part, F.lit(size), F.substring("samples", -1, 1)).alias("samples"))
+
+
+def check_played(audio: DataFrame, played: DataFrame) -> DataFrame:
+    """(stream_id, count, want, got, status) of (stream_id, count, want) from the player: the checksum of the count
+    samples that it filled, the last one repeated behind the end. SHORT: it didn't fill them all."""
+    both = played.join(audio.select("stream_id", "samples"), "stream_id")
+    silent = F.length("samples") == 0
+    whole = F.rpad(F.when(silent, F.lit(b"\0")).otherwise(F.col("samples")), F.col("count").cast("int"), F.when(silent, F.lit(b"\0")).otherwise(F.substring("samples", -1, 1)))
+    out = both.withColumn("got", F.crc32(whole))
+    status = F.when(F.col("got") != F.col("want"), "FAILED").when(F.col("count") < F.length("samples"), "SHORT").otherwise("OK")
+    return out.select("stream_id", "count", "want", "got", status.alias("status"))
+
+
 def slices(total: int, frames: int, hz: float) -> list[tuple[int, int]]:
     """(first, end) sample of each packet: even counts, by exact rates."""
     through = lambda n: min(total, 2 * int((n + 1) * (hz / K.FPS) // 2))

@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions.bits import depack
 from ..sources.bitstream import n_bands, parse_headers, read_palettes
 from .delta import Malformed, parse
+from .quantize import from_rgb444, oklab
 
 ROW_SCHEMA = "stream_id string, n int, y int, index binary"
 CELL_SCHEMA = "stream_id string, n int, op int, flags int, planes int, y0 int, y1 int, y int, columns array<int>, data binary, rle boolean, error string"
@@ -136,6 +137,66 @@ def colour_counts(rows: DataFrame, palettes: DataFrame, headers: DataFrame) -> D
     return each.groupBy("stream_id", "n", "colour").agg(F.sum("pixels").alias("pixels"))
 
 
+def ideal_rows(source: DataFrame, palettes: DataFrame, headers: DataFrame) -> DataFrame:
+    """(stream_id, n, y, index): the nearest entries to the source's rows (stream_id, n, y, rgb) in the palettes in force."""
+
+    def near(batches):
+        for batch in batches:
+            made = [nearest_row(*row) for row in zip(*(c.to_pylist() for c in batch.columns[3:]), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["stream_id", "n", "y", "index"])
+
+    known = source.join(palettes, ["stream_id", "n"]).join(headers.select("stream_id", "colors", "y0", "band_rows"), "stream_id")
+    return known.select("stream_id", "n", "y", "rgb", "palette", "colors", "y0", "band_rows").mapInArrow(near, ROW_SCHEMA)
+
+
+def band_entries(palette: bytes, colors: int, y0: int, band_rows: int, y: int) -> np.ndarray:
+    """The Oklab entries of a row's band."""
+    table = np.frombuffer(palette, ">u2").reshape(-1, colors)
+    band = min(max(0, (y - y0) // band_rows), len(table) - 1) if band_rows else 0
+    return oklab(from_rgb444(table[band].astype(int)))
+
+
+def nearest_row(rgb: bytes, palette: bytes, colors: int, y0: int, band_rows: int, y: int) -> bytes:
+    here = oklab(np.frombuffer(rgb, np.uint8).reshape(-1, 3))
+    entries = band_entries(palette, colors, y0, band_rows, y)
+    return ((here[:, None] - entries) ** 2).sum(-1).argmin(1).astype(np.uint8).tobytes()
+
+
+def attributed(decoded: DataFrame, source: DataFrame, packets: DataFrame, headers: DataFrame, limit: float = K.BAD_PIXEL) -> DataFrame:
+    """(stream_id, n, pixels, error, colours, held, compression): each frame's distance to its source, and why pixels differ
+    visibly from it, over active rows.
+
+    decoded has (stream_id, n, y, index), source (stream_id, n, y, rgb). Colours: the nearest entry is visibly off too. Held: the
+    pixel is the ideal one of the frame that was last drawn. Frames without a source row have none."""
+    palettes = palettes_at(packets, headers)
+    ideal = ideal_rows(source, palettes, headers)
+    order = Window.partitionBy("stream_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = packets.select("stream_id", "n", F.last(F.when(F.col("op") != K.REPEAT, F.col("n")), ignorenulls=True).over(order).alias("_drawn"))
+    held = ideal.select("stream_id", F.col("n").alias("_drawn"), "y", F.col("index").alias("_held"))
+    info = headers.select("stream_id", "colors", "y0", "y1", "band_rows")
+    rows = decoded.join(source, ["stream_id", "n", "y"]).join(info, "stream_id").filter("y >= y0 and y < y1")
+    rows = rows.join(ideal.withColumnRenamed("index", "_ideal"), ["stream_id", "n", "y"]).join(drawn, ["stream_id", "n"])
+    rows = rows.join(held, ["stream_id", "_drawn", "y"], "left").join(palettes, ["stream_id", "n"])
+
+    def account(batches):
+        for batch in batches:
+            out = []
+            for rgb, index, best, kept, palette, colors, y0, band_rows, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                here, entries = oklab(np.frombuffer(rgb, np.uint8).reshape(-1, 3)), band_entries(palette, colors, y0, band_rows, y)
+                index, best = np.frombuffer(index, np.uint8), np.frombuffer(best, np.uint8)
+                d, least = (np.sqrt(((here - entries[x]) ** 2).sum(-1)) for x in (index, best))
+                same = index == np.frombuffer(kept, np.uint8) if kept is not None else np.zeros(len(index), bool)
+                bad, poor = d > limit, least > limit
+                out.append((len(index), float(d.sum()), int((bad & poor).sum()), int((bad & ~poor & same).sum()), int((bad & ~poor & ~same).sum())))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["stream_id", "n", "pixels", "error", "colours", "held", "compression"])
+
+    each = rows.select("stream_id", "n", "rgb", "index", "_ideal", "_held", "palette", "colors", "y0", "band_rows", "y")
+    counts = each.mapInArrow(account, "stream_id string, n int, pixels long, error double, colours long, held long, compression long")
+    return counts.groupBy("stream_id", "n").agg(*(F.sum(c).alias(c) for c in ("pixels", "error", "colours", "held", "compression")))
+
+
 def decode_frame_model(content: bytes) -> list[int]:
     """Frame CRCs by plain sequential decoding of whole frames: the tests' second opinion."""
     from ..sources.bitstream import HEADER, walk

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from .quantize import from_rgb444
 
 VSYNC_HZ = 50.0
 FIRST_LINE = 0x2C
+#: Bytes of a delta's map of rows, and of a row's mask of columns.
+ROW_MASK = K.HEIGHT // 8
+COLUMN_MASK = 3
 CCK_PER_VBL = K.LINES_PER_VBL * K.CCK_PER_LINE
 
 
@@ -57,6 +61,42 @@ def timing_summary(timing: DataFrame) -> DataFrame:
     return timing.groupBy("disk_id").agg(F.count(used).alias("deltas"), (F.avg(used) * 1000 / K.PAULA_HZ).alias("mean_ms"), (F.max(used) * 1000 / K.PAULA_HZ).alias("worst_ms"), F.max_by("n", F.struct(used, -F.col("n"))).alias("worst_n"))
 
 
+PARTS = "row_map column_masks literals rle padding".split()
+
+
+def delta_parts(packets: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row per stream: packets, deltas, rows, rle_rows, and the bytes of each part. headers, palettes, audio, row_map,
+    column_masks, literals, rle and padding add up to the payload; malformed deltas count as padding."""
+    names = ["deltas", "rows", "rle_rows", *PARTS]
+
+    def split(batches):
+        for batch in batches:
+            out = []
+            for op, size, palette, sound, video, planes in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                rest, found = size - 6 - len(palette or b"") - len(sound or b""), None
+                if op in (K.DELTA, K.DELTA_RLE):
+                    try:
+                        found = delta.parse(op, video, planes)
+                    except delta.Malformed:
+                        pass
+                if found is None:
+                    out.append((0, 0, 0, 0, 0, 0, 0, rest))
+                    continue
+                _, used, stats = found
+                masks = (stats.rows - stats.rle_rows) * COLUMN_MASK
+                literals = stats.bytes - stats.rle_rows * K.ROW_BYTES * planes
+                out.append((1, stats.rows, stats.rle_rows, ROW_MASK, masks, literals, used - ROW_MASK - masks - literals, rest - used))
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["stream_id", *names])
+
+    whole = packets.filter(F.size("errors") == 0)
+    sent = whole.join(headers.select("stream_id", "planes"), "stream_id").select("stream_id", "op", "len", "palette", "audio", "video", "planes")
+    parts = sent.mapInArrow(split, ", ".join(["stream_id string", *(f"{n} long" for n in names)])).groupBy("stream_id").agg(*(F.sum(n).alias(n) for n in names))
+    size = lambda c: F.sum(F.coalesce(F.length(c), F.lit(0))).cast("long")
+    plain = whole.groupBy("stream_id").agg(F.count("*").alias("packets"), (F.count("*") * 6).alias("headers"), size("palette").alias("palettes"), size("audio").alias("audio"))
+    return plain.join(parts, "stream_id")
+
+
 def mismatches(a: str, b: str) -> Column:
     """How many bytes of two binary columns differ, and the first place; bytes that only one has differ."""
 

@@ -33,6 +33,20 @@ def winner(results: DataFrame, key: str, max_late: int = 2, within: float = 2.0)
     return near.groupBy(key).agg(best.alias("b")).select(key, F.col("b.cfg_id").alias("cfg_id"), (-F.col("b.col1")).alias("planes"), (-F.col("b.col2")).alias("size"), F.col("b.bad").alias("bad"))
 
 
+def finer(pick: DataFrame, sizes=SIZES, step: int = 2) -> DataFrame:
+    """Configurations that may be larger than each pick (its columns, with planes, hold, size and raised): every `step`
+    points up to the next size of the list. Picks with a raised threshold have none."""
+    above = F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, sizes)), lambda s: s > F.col("size"))), F.lit(102))
+    last = F.least(above - 1, F.lit(100))
+    return pick.filter(~F.col("raised") & (F.col("size") + step <= last)).withColumn("size", F.explode(F.sequence(F.col("size") + step, last, F.lit(step))))
+
+
+def finest(pick: DataFrame, results: DataFrame, key: str, max_late: int = 2) -> DataFrame:
+    """Each pick at the largest of its own size and the sizes that were usable among the finer ones."""
+    best = results.filter(usable(max_late)).groupBy(key).agg(F.max("size").alias("_size"))
+    return pick.join(best, key, "left").withColumn("size", F.greatest("size", "_size")).drop("_size")
+
+
 def evaluate(clips: DataFrame, configs: DataFrame, run: Callable[[pd.DataFrame, dict], dict], schema: str, key: str = "clip_id") -> DataFrame:
     """run(the clip's rows, configuration) for every clip and configuration: one task each, the clip read once."""
     names = configs.columns

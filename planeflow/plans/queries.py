@@ -445,14 +445,38 @@ def buffer_parity(spark, d):
     return e.select("user_id", "event_id", "buffer", F.last("v", ignorenulls=True).over(w).alias("visible"))
 
 
-@query("""WITH c AS (SELECT p_partkey, 100.0::DOUBLE + p_size * 10 AS w, 100.0::DOUBLE + p_partkey % 200 AS h, 80.0::DOUBLE + p_size % 21 AS size FROM part),
-k AS (SELECT *, floor(160 * size / 100) AS cols FROM c), r AS (SELECT *, cols * h * 16 / (w * 15) AS rows FROM k), f AS (SELECT *, least(1.0::DOUBLE, 128 / rows) AS fit FROM r),
-e AS (SELECT *, CAST(floor(rows * fit / 2 + 0.5) AS INT) * 2 AS even FROM f)
-SELECT p_partkey, CAST(floor(cols * fit) AS INT) AS cols, even AS rows, CAST(floor((128 - even) / 2.0) AS INT) AS y0 FROM e""")
+@query("""WITH c AS (SELECT p_partkey, 100.0::DOUBLE + p_size * 10 AS w, 100.0::DOUBLE + p_partkey % 200 AS h, 80 + p_size % 21 AS pct, p_partkey % 3 AS a FROM part),
+r AS (SELECT p_partkey, a, CASE WHEN a = 1 THEN 100 ELSE pct END AS pct, floor(floor(160 * (16.0::DOUBLE / 15) / (w / h) + 0.5) / 2) * 2 AS across, floor(floor(128 * (w / h) / (16.0::DOUBLE / 15) + 0.5) / 2) * 2 AS down FROM c),
+f AS (SELECT *, a <> 2 AND ((a = 0 AND across > 128) OR (a = 1 AND across < 128)) AS tall FROM r),
+k AS (SELECT *, CASE WHEN tall THEN down ELSE 160 END AS c, CASE WHEN a = 2 OR tall THEN 128 ELSE across END AS r FROM f),
+z AS (SELECT p_partkey, a, CAST(CASE WHEN pct < 100 THEN floor(floor(c * pct / 100.0::DOUBLE + 0.5) / 2) * 2 ELSE c END AS INT) AS cols, CAST(CASE WHEN pct < 100 THEN floor(floor(r * pct / 100.0::DOUBLE + 0.5) / 2) * 2 ELSE r END AS INT) AS rows FROM k)
+SELECT p_partkey, cols, rows, CAST((160 - cols) // 2 AS INT) AS x0, CAST((128 - rows) // 2 AS INT) AS y0, CASE WHEN a <> 1 AND cols < 160 THEN 160.0::DOUBLE / cols ELSE 1.0::DOUBLE END AS scale FROM z""")
 def geometry(spark, d):
-    p = table(spark, d, "part")
-    box = cost.letterbox(100.0 + F.col("p_size") * 10, 100.0 + F.col("p_partkey") % 200, 80.0 + F.col("p_size") % 21)
-    return p.select("p_partkey", box.alias("x")).select("p_partkey", "x.cols", "x.rows", "x.y0")
+    """Letterbox, crop and stretch; a crop is always at full size."""
+    kind = F.col("p_partkey") % 3
+    aspect = F.when(kind == 0, "letterbox").when(kind == 1, "crop").otherwise("stretch")
+    box = cost.picture(100.0 + F.col("p_size") * 10, 100.0 + F.col("p_partkey") % 200, F.when(kind == 1, 100).otherwise(80 + F.col("p_size") % 21), aspect)
+    return table(spark, d, "part").select("p_partkey", box.alias("x")).select("p_partkey", "x.*")
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(80 + p_partkey % 5 * 5 AS INT) AS size, p_size % 4 = 0 AS raised, p_size FROM part),
+t AS (SELECT p_partkey, s FROM p, unnest(range(82, 101)) AS r(s) WHERE NOT raised AND s > size AND (s - size) % 2 = 0 AND s < least(size + 5, 102) AND (p_size + s) % 3 > 0)
+SELECT p_partkey, CAST(greatest(size, coalesce((SELECT max(s) FROM t WHERE t.p_partkey = p.p_partkey), 0)) AS INT) AS size FROM p""")
+def finest_size(spark, d):
+    """The finest size of each part's configuration; a made-up rule says which of the sizes between are usable."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    pick = table(spark, d, "part").select(k, s, (80 + k % 5 * 5).cast("int").alias("size"), F.lit(4).alias("planes"), F.lit(3).alias("hold"), (s % 4 == 0).alias("raised"))
+    tried = search.finer(pick).withColumns({"ok": (s + F.col("size")) % 3 > 0, "fits": F.lit(True), "worst_late": F.lit(0)})
+    return search.finest(pick, tried, "p_partkey").select("p_partkey", "size")
+
+
+@query("""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS stream_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+f AS (SELECT stream_id, CAST(i AS INT) AS fill, rpad(substr(h, i * 1024 + 1, 1024), 1024, '#') AS part, right(h, 2) AS tail FROM s, unnest(range(0, CAST(ceil(length(h) / 1024.0) AS BIGINT))) AS r(i) WHERE length(h) > 0)
+SELECT stream_id, fill, md5(replace(part, '##', tail)) AS samples FROM f""")
+def audio_fills(spark, d):
+    """The buffers that each interrupt fills, the bytes of a text being the samples."""
+    audio_of = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("samples"))
+    return audio.fills(audio_of).select("stream_id", "fill", F.md5(F.hex("samples").cast("binary")).alias("samples"))
 
 
 @query("""WITH v AS (SELECT p_partkey, CAST(p_partkey % 128 AS INT) AS y, CAST(p_size % 20 AS INT) AS y0, 128 - CAST(p_size % 30 AS INT) AS y1, CAST(p_partkey % 17 AS INT) AS f FROM part),
@@ -514,10 +538,22 @@ def source_to_disk(spark, d):
     return decode.colour_counts(rows, decode.palettes_at(packets, headers), headers)
 
 
+@query()
+def stream_attribution(spark, d):
+    """Raw frames to a stream, decoded, and held against the frame behind each: why pixels are off."""
+    source = clips.raw_rows(spark, d).withColumnsRenamed({"clip_id": "stream_id", "frame": "n"})
+    made = convert.convert_clips(clips.raw_rows(spark, d), convert.Recipe(Settings(rle=True)))
+    files = made.select(F.col("clip_id").alias("stream_id"), "content")
+    packets, headers = bitstream.packets(files), bitstream.parse_headers(files)
+    late = decode.fold_rows(decode.row_writes(packets, headers)).withColumn("n", F.col("n") + 1)
+    return decode.attributed(late, source, packets, headers).withColumn("error", F.round("error", 6))
+
+
 @query()
 def stream_parts(spark, d):
     """Bytes by part of the encoded clips."""
-    return bitstream.breakdown(bitstream.packets(clips.encoded(spark, d).select("stream_id", "content")))
+    files = clips.encoded(spark, d).select("stream_id", "content")
+    return report.delta_parts(bitstream.packets(files), bitstream.parse_headers(files))
 
 
 @query()

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from planeflow import constants as K
-from planeflow.functions import bits
-from planeflow.operators import audio, decode, encode, report
+from planeflow.functions import bits, cost
+from planeflow.operators import audio, convert, decode, encode, quantize, report, search
+from planeflow.operators.encode import Settings, encode_stream
 from planeflow.sources import bitstream, raw
 
 
@@ -96,3 +97,91 @@ def test_play_report(spark):
     timing = spark.createDataFrame([("d", 0, 0), ("d", 1, 50), ("d", 2, 50)], "disk_id string, n int, cck long")
     assert tuple(report.timing_summary(timing).select("deltas", "worst_n").first()) == (2, 1)
     assert spark.range(1).select(report.budget(F.lit(7752)).alias("b")).first()["b"] == (1760 - 2 - 16) * 512
+
+
+def _lossy(spark):
+    """(frames, stream, headers, packets) of a noisy clip with a held frame and two colours that the palette lacks."""
+    rng = np.random.default_rng(3)
+    frames = np.zeros((6, K.HEIGHT, K.WIDTH, 3), np.uint8)
+    for n in range(6):
+        frames[n, 10 + n : 40 + n, 20:90] = (255, 0, 0)
+        frames[n, 60:70, n * 4 : n * 4 + 40] = rng.integers(0, 256, (10, 40, 3))
+    frames[3] = frames[2]
+    settings = Settings(planes=2, rle=True, min_hold=2)
+    scene = {0: [[0x000, 0xF00, 0x0F0, 0x00F]]}
+    index = np.stack([convert.mapped(f, np.array(scene[0][0])) for f in frames])
+    stream = encode_stream(index, scene, settings)
+    files = spark.createDataFrame([("s", bytes(stream.content))], "stream_id string, content binary")
+    return frames, index, stream, files, bitstream.parse_headers(files), bitstream.packets(files)
+
+
+def test_attribution_equals_brute_force(spark):
+    frames, index, stream, files, headers, packets = _lossy(spark)
+    source = spark.createDataFrame([("s", n, y, frames[n, y].tobytes()) for n in range(1, 6) for y in range(K.HEIGHT)], "stream_id string, n int, y int, rgb binary")
+    decoded = decode.fold_rows(decode.row_writes(packets, headers)).persist()
+    # shift the stream by a frame, so that held and compressed pixels occur
+    late = decoded.withColumn("n", F.col("n") + 1)
+    got = {r.n: r for r in decode.attributed(late, source, packets, headers).collect()}
+    head = headers.first()
+    y0, y1 = head.y0, head.y1
+    shown = {(r.n, r.y): np.frombuffer(bytes(r["index"]), np.uint8) for r in late.collect()}
+    ops = {r.n: r.op for r in packets.collect()}
+    entries = quantize.oklab(quantize.from_rgb444(np.array([0x000, 0xF00, 0x0F0, 0x00F])))
+    total = [0, 0, 0]
+    for n in range(1, 6):
+        drawn = max(k for k in range(n + 1) if ops[k] != K.REPEAT)
+        want, error = [0, 0, 0], 0.0
+        for y in range(y0, y1):
+            for x in range(K.WIDTH):
+                c, v = quantize.oklab(frames[n, y, x][None])[0], shown[n, y][x]
+                d, least = np.linalg.norm(c - entries[v]), np.linalg.norm(c - entries[index[n, y, x]])
+                error += d
+                if d > K.BAD_PIXEL:
+                    kind = 0 if least > K.BAD_PIXEL else 1 if drawn >= 1 and v == index[drawn, y, x] else 2
+                    want[kind] += 1
+        assert [got[n].colours, got[n].held, got[n].compression] == want and got[n].pixels == (y1 - y0) * K.WIDTH
+        assert abs(got[n].error - error) < 1e-6
+        total = [a + b for a, b in zip(total, want, strict=True)]
+    assert total[0] and total[2]
+
+
+def test_parts_add_up_to_the_payload(spark):
+    _, _, stream, files, headers, packets = _lossy(spark)
+    r = report.delta_parts(packets, headers).first()
+    parts = ["headers", "palettes", "audio", *report.PARTS]
+    assert sum(r[p] for p in parts) == len(stream.content) - K.HEADER_BYTES
+    assert r.packets == 6 and r.deltas == sum(p.op != K.REPEAT for p in packets.collect())
+    assert r.row_map == 16 * r.deltas and r.column_masks == 3 * (r.rows - r.rle_rows) and r.padding <= r.packets
+    empty = files.limit(0)
+    assert report.delta_parts(bitstream.packets(empty), bitstream.parse_headers(empty)).count() == 0
+
+
+def test_fills_and_what_was_played(spark):
+    samples = {"a": bytes(range(200)) * 5, "b": b"", "c": b"\x07" * 512, "d": b"\x01"}
+    df = spark.createDataFrame(list(samples.items()), "stream_id string, samples binary")
+    got = {(r.stream_id, r.fill): bytes(r.samples) for r in audio.fills(df).collect()}
+    assert got == {("a", 0): samples["a"][:512], ("a", 1): samples["a"][512:] + samples["a"][-1:] * 24, ("c", 0): samples["c"], ("d", 0): b"\x01" * 512}
+    heard = {"a": samples["a"] + samples["a"][-1:] * 24, "b": b"\0" * 512, "c": samples["c"][:500], "d": b"\x02" * 512}
+    played = spark.createDataFrame([(k, len(v), zlib.crc32(v)) for k, v in heard.items()], "stream_id string, count long, want long")
+    assert {r.stream_id: r.status for r in audio.check_played(df, played).collect()} == {"a": "OK", "b": "OK", "c": "SHORT", "d": "FAILED"}
+
+
+def test_pictures_by_aspect(spark):
+    def box(w, h, size, aspect):
+        r = spark.range(1).select(cost.picture(F.lit(w), F.lit(h), F.lit(size), F.lit(aspect)).alias("b")).first().b
+        return r and (r.cols, r.rows, r.x0, r.y0, round(r.scale, 6))
+
+    assert box(1920, 1080, 100, "letterbox") == (160, 96, 0, 16, 1.0)
+    assert box(1080, 1920, 100, "letterbox") == (68, 128, 46, 0, round(160 / 68, 6))  # 67.5 columns
+    assert box(1920, 1080, 100, "crop") == (212, 128, -26, 0, 1.0)
+    assert box(1920, 1080, 100, "stretch") == (160, 128, 0, 0, 1.0)
+    assert box(1920, 1080, 80, "letterbox") == (128, 76, 16, 26, 1.25)
+    assert box(1920, 1080, 90, "crop") is None
+
+
+def test_finest_size(spark):
+    pick = spark.createDataFrame([("a", 90, False), ("b", 100, False), ("c", 80, True), ("d", 95, False), ("e", 83, False)], "key string, size int, raised boolean")
+    tried = search.finer(pick)
+    assert sorted((r.key, r["size"]) for r in tried.collect()) == [("a", 92), ("a", 94), ("d", 97), ("d", 99)]
+    results = tried.withColumns({"ok": F.lit(True), "fits": F.col("size") < 94, "worst_late": F.lit(1)})
+    assert {r.key: r["size"] for r in search.finest(pick, results, "key").collect()} == {"a": 92, "b": 100, "c": 80, "d": 95, "e": 83}
