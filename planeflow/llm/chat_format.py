@@ -46,7 +46,9 @@ def placed_turns(turns: DataFrame, stride: int) -> DataFrame:
     earlier one, so the sums that are carried over are one row a block at most, and are broadcast."""
     order = ["turn", "role", "text", "tie"]  # turns that tie are equal, or told apart by role and text
     t = turns.withColumn("tie", F.monotonically_increasing_id())
-    t = written(t.repartitionByRange("conv", *order).withColumn("block", F.spark_partition_id()), "turns")
+    t = t.repartitionByRange("conv", *order)  # samples its input, so tokens are counted behind it, once
+    tokens = F.regexp_count(formatted("role", "text"), F.lit(r"\w+|[^\w\s]")).cast("long")
+    t = written(t.withColumns({"tokens": tokens, "block": F.spark_partition_id()}), "turns")
     sums = t.groupBy(F.col("conv").alias("of"), F.col("block").alias("at")).agg(F.sum("tokens").alias("here"))
     carried = sums.withColumn("before", F.sum("here").over(Window.partitionBy("of").orderBy("at")) - F.col("here")).filter("before > 0").drop("here")
     t = t.join(F.broadcast(carried), F.col("conv").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")), "left")
@@ -69,7 +71,6 @@ def chat_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     role: empty. Rows with a null conversation form one conversation. An empty table gives no windows. No task
     holds a conversation: the largest unit is a window, of stride and history tokens, a system turn, or one turn."""
     t = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("tokens", F.regexp_count(formatted("role", "text"), F.lit(r"\w+|[^\w\s]")).cast("long"))
     placed = written(placed_turns(t, stride), "placed")
     starts = placed.groupBy("conv", "span").agg(F.min("begin").alias("start"))
     spans = starts.select(F.col("conv").alias("of"), F.col("span").alias("to"), "start")
