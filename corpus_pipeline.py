@@ -20,6 +20,9 @@ from planeflow.llm.quality_rules import quality_filter
 #: business, so here the domains are good and toxic: the toxic ones are thinned out, and good ones repeat to make up.
 TARGETS = {"good": 0.995, "toxic": 0.005}
 BUDGET = 1.0
+#: Executors come to packing with their heaps full from the stages before, so its workers keep less than op10_packing's.
+PACK_CHUNK = 1 << 20
+PACK_CACHE = 16 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs).withColumnRenamed("id", "doc_id")
+    return pack(docs, chunk=PACK_CHUNK, cache_bytes=PACK_CACHE).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("packing", packing)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -63,6 +64,24 @@ def texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+def release() -> None:
+    """Give what is free in this process back to the system: Arrow and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(f):
+    """f for mapInArrow, with release() after its last batch: a worker process outlives its task by many others."""
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def spans(sizes, most: int):
     """(first, last) of neighbouring rows whose sizes add up to most at most; a larger row stands alone."""
     first, total = 0, 0

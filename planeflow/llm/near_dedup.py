@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import join_rows, own_columns, row_key, spans, texts, written
+from ._shared import join_rows, own_columns, row_key, spans, texts, tidy, written
 from ._words import U, Words, buffers, mix, windows
 
 SHINGLE = 5
@@ -373,7 +373,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least, so a class with one has a null class_id. kept is true for one
     row a class, the least by identifier and text hash, and of equal rows any one. No rows give no rows."""
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("_t"))
-    made = written(rows.mapInArrow(_sketch, "_id long, _h long, high long, low long, n int, sketches array<long>"), "sketches")
+    made = written(rows.mapInArrow(tidy(_sketch), "_id long, _h long, high long, low long, n int, sketches array<long>"), "sketches")
     nodes = made.groupBy("high", "low").agg(F.min("_id").alias("rep"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     member = written(made.join(nodes.hint("merge"), ["high", "low"]).select("_id", "_h", "node", "rep", "n", F.when(F.col("_id") == F.col("rep"), F.col("sketches")).alias("sketches")), "members")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import spans, texts, written
+from ._shared import release, spans, texts, tidy, written
 from ._words import buffers
 
 CAPACITY = 4096
@@ -61,9 +61,10 @@ class Encoder:
     present one is full it becomes the old one, and a word that is met again moves over. So common words stay, and
     rare ones are forgotten."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunk: int | None = None, cache_bytes: int | None = None):
         import tokenizers
 
+        self.chunk, self.cache_bytes = chunk, cache_bytes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.bare = tokenizers.Tokenizer(self.tokenizer.model)  # for words that need neither normalising nor splitting
@@ -74,6 +75,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        del vocabulary
+        release()
 
     def _plain(self, words: list[str]) -> list[bytes] | None:
         """Ids of words of byte-level letters: each ends in its one piece that ends a word."""
@@ -135,19 +138,19 @@ class Encoder:
         at = np.append(0, np.cumsum(each))  # where each word's ids begin
         shift = (np.cumsum(size) - size)[code] - at[:-1]
         out = ids[np.arange(at[-1]) + np.repeat(shift, each)]
-        if self.size > CACHE_BYTES:
+        if self.size > (self.cache_bytes or CACHE_BYTES):
             self.known, self.old, self.size = {}, known, 0
         return out, at[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
     def ids(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text. A text longer than CHUNK is cut at white space into blocks."""
-        out = []
-        for a, b in spans(np.diff(buffers(column)[1]), CHUNK):
+        out, chunk = [], self.chunk or CHUNK
+        for a, b in spans(np.diff(buffers(column)[1]), chunk):
             part = column.slice(a, b - a)
-            if b == a + 1 and (text := part[0].as_buffer().to_pybytes()) and len(text) > CHUNK:
+            if b == a + 1 and (text := part[0].as_buffer().to_pybytes()) and len(text) > chunk:
                 blocks, x = [], 0
                 while x < len(text):
-                    y = x + CHUNK
+                    y = x + chunk
                     while y < len(text) and text[y] not in b" \t\n\x0b\x0c\r":
                         y += 1
                     blocks.append(self._chunk(pa.array([text[x:y].decode()], pa.large_string()))[0])
@@ -159,14 +162,15 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
+def encoder(path: str, chunk: int | None = None, cache_bytes: int | None = None) -> Encoder:
+    """One encoder a worker process, file and sizes."""
     import tokenizers
 
     held = tokenizers.__dict__.setdefault("_planeflow_encoders", {})
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    key = path, chunk, cache_bytes
+    if key not in held:
+        held[key] = Encoder(*key)
+    return held[key]
 
 
 class Bins:
@@ -235,17 +239,18 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def _fill(path: str, capacity: int, end_id: int):
+def _fill(path: str, capacity: int, end_id: int, chunk: int | None = None, cache_bytes: int | None = None):
     def fill(batches):
         from pyspark import TaskContext
 
+        release()  # what earlier stages left in this worker
         run = TaskContext.get().partitionId()
-        bins, coder, schema = Bins(capacity, run, run << 32), encoder(path), None
+        bins, coder, schema = Bins(capacity, run, run << 32), encoder(path, chunk, cache_bytes), None
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             schema = schema or _schema(batch.schema.field(0).type)
             column, keys = texts(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in spans(np.diff(buffers(column)[1]), CHUNK):
+            for a, b in spans(np.diff(buffers(column)[1]), chunk or CHUNK):
                 for key, ids in zip(keys[a:b], coder.ids(column.slice(a, b - a)), strict=True):
                     raw = ids.tobytes() + end
                     bins.add(key, len(raw) // 4, raw, 0, 0, len(raw) // 4)
@@ -271,18 +276,19 @@ def _meet(level: int, capacity: int, last: bool):
     return meet
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, chunk: int | None = None, cache_bytes: int | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows with equal or null identifiers are packed one by one,
     each with its own pieces. Every id lies in one piece; pieces fill a sequence gaplessly from 0, and all
     sequences but one are full. An empty table gives no rows. Which document is cut as a filler depends on how
-    the input is partitioned."""
+    the input is partitioned. chunk and cache_bytes (CHUNK and CACHE_BYTES where unset) trade a worker's memory for
+    time; pieces don't depend on them."""
     if capacity < LAST:
         raise ValueError(f"capacity is {LAST} at least")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = PIECE.format(id=f"id {rows.schema['id'].dataType.simpleString()}")
-    first = written(rows.mapInArrow(_fill(vocabulary or vocabulary_path(), capacity, end_id), schema), "pieces")
+    first = written(rows.mapInArrow(tidy(_fill(vocabulary or vocabulary_path(), capacity, end_id, chunk, cache_bytes)), schema), "pieces")
     done, rest, level, last = [first.filter("sequence_id is not null")], first.filter("sequence_id is null"), 0, False
     while not last:
         level, runs = level + 1, (rest.agg(F.max("run")).first()[0] or 0) + 1

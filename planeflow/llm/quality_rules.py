@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import spans, texts
+from ._shared import spans, texts, tidy
 from ._words import U, Words, buffers, mix, windows
 
 SAMPLE_ROWS = 2000
@@ -264,7 +264,7 @@ def _keep(rules):
 def quality_filter(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The documents that pass the base rules and the cascade, with docs' own columns."""
     order = [x["rule"] for x in plan_order(docs, (*BASE, *rules), text_col)]
-    return docs.withColumn("_pf_text", F.col(text_col).cast("string")).mapInArrow(_keep(order), docs.schema)
+    return docs.withColumn("_pf_text", F.col(text_col).cast("string")).mapInArrow(tidy(_keep(order)), docs.schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

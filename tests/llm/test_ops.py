@@ -218,6 +218,21 @@ def test_long_texts_are_encoded_in_blocks(monkeypatch):
         assert [ids.tolist() for ids in coder.ids(pa.array(["skipped", *some]).slice(1))] == want
 
 
+def test_the_pipelines_encoder_needs_less_memory(docs):
+    """Sizes of its own bound its cache and its blocks, and its pieces are the same."""
+    coder = packing.encoder(packing.vocabulary_path(), 1000, 5000)
+    assert coder is not packing.encoder(packing.vocabulary_path()) and corpus_pipeline.PACK_CHUNK < packing.CHUNK and corpus_pipeline.PACK_CACHE < packing.CACHE_BYTES
+    seen, one = [], coder._chunk
+    coder._chunk = lambda column: (seen.append(column.nbytes), one(column))[1]
+    some = [" ".join(f"w{i}x, Y{j}." for j in range(20)) for i in range(200)]
+    want = packing.Encoder(packing.vocabulary_path()).ids(pa.array(some))
+    assert all(a.tolist() == b.tolist() for a, b in zip(coder.ids(pa.array(some)), want, strict=True))
+    assert len(seen) > 10 and len(coder.known) + len(coder.old) < 200
+    columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    small, usual = (sorted(map(str, packing.pack(docs, **sizes).select(columns).collect())) for sizes in ({"chunk": 1000, "cache_bytes": 5000}, {}))
+    assert small == usual
+
+
 def test_harmonic_classes():
     """A bin of class k has k documents and one filler; a document that is neither long nor a filler is whole."""
     rng = np.random.default_rng(3)
