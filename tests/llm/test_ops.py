@@ -66,6 +66,34 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in out.select("doc_id", "held_out").limit(50).collect())
 
 
+def test_the_classifier_learns_from_all_rows_and_pairs(spark):
+    """Against plain descent on all pairs, and its sums over parts of a table against one array."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 15))
+    label = (x[:, 2] + rng.normal(size=300) > 0.5).astype(int)
+    model = quality_classifier.fit(x, label)
+    z = np.clip((quality_classifier.hinges(x, model.knots) - model.mean) / model.scale, -8, 8)
+    assert np.allclose(model.knots, np.quantile(x, quality_classifier.KNOTS, axis=0), atol=1e-6)
+    d = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, z.shape[1])
+    slope = -d.T @ (1 / (1 + np.exp(d @ model.weights))) / len(d) + quality_classifier.RIDGE * model.weights
+    assert np.abs(slope).max() < 1e-4
+    assert np.isclose(model.threshold, np.quantile(z @ model.weights, (label == 0).mean()), atol=1e-6)
+    assert not hasattr(quality_classifier, "TRAIN_ROWS") and not hasattr(quality_classifier, "PAIRS")
+
+
+def test_no_labelled_row_is_left_out(spark):
+    """25,000 labels, more than were ever learnt from: the training table has them all."""
+    docs = spark.range(25_000).selectExpr("id as doc_id", "repeat(concat('word ', id % 7, ' '), 1 + cast(id % 5 as int)) as text")
+    seen, learn = [], quality_classifier.learn
+    count = lambda total: (seen.append(total(lambda x, label: np.array([len(x), label.sum()]), np.add).tolist()), learn(total, 1))[1]
+    quality_classifier.learn = count
+    try:
+        quality_classifier.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 5 > 2 as int) as quality"))
+    finally:
+        quality_classifier.learn = learn
+    assert seen == [[25_000.0, 10_000.0]]
+
+
 def test_scores_ignore_all_but_the_text(spark):
     rng = np.random.default_rng(0)
     x, label = rng.normal(size=(400, 15)), np.zeros(400)
